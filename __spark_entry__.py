@@ -106,7 +106,7 @@ def q_partitioned_write(spark, d):
     """Write the bucketed history table, read it back and aggregate it."""
     path = work_path(spark, "fact")
     name = "fact_" + path.rsplit("-", 1)[1]
-    sink_tables.save_fact_table(star.readings(spark, d), name, strategy="DAILY", path=path)
+    sink_tables.save_fact_table(star.readings(spark, d), name, strategy="DAILY", buckets=4, path=path)
     table = spark.read.orc(path)
     spark.sql(f"DROP TABLE {name}")
     return rounded(table.groupBy(F.col("dt").cast("string").alias("dt"), "robot_id").agg(

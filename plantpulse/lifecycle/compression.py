@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plantpulse.schemas import COMPRESSION_TASK
+from plantpulse.sinks.tables import gathered
 from plantpulse.sources.tables import file_listing
 
 # Codecs by name, and the age after which data is compressed.
@@ -22,17 +23,16 @@ def _size(spark: SparkSession, path: str, before: str) -> tuple[int, int]:
 
 
 def rewrite(spark: SparkSession, source: str, target: str, codec: str, now: datetime,
-            days: int = COMPRESS_AFTER_DAYS, salts: int = 8) -> DataFrame:
+            days: int = COMPRESS_AFTER_DAYS) -> DataFrame:
     """Write the days older than `days` from source to target with a codec; one task row tells the sizes.
 
-    The source is read by partition, so newer days are never opened; the rows of a day are spread over
-    several tasks. Rows keep their order inside a file (robot, time), which columnar codecs profit from.
+    The source is read by partition, so newer days are never opened. Rows are ordered by robot and time
+    inside a file, which columnar codecs profit from.
     """
     before = f"{now - timedelta(days=days):%Y-%m-%d}"
     old = spark.read.parquet(source).filter(F.col("dt").cast("string") < before)
     order = [c for c in ("robot_id", "event_time") if c in old.columns]
-    spread = old.repartition("dt", F.pmod(F.xxhash64(*[c for c in old.columns if c != "dt"]), F.lit(salts)))
-    (spread.sortWithinPartitions("dt", *order).write.mode("overwrite")
+    (gathered(old, "dt").sortWithinPartitions("dt", *order).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").option("compression", CODECS[codec.upper()])
      .partitionBy("dt").parquet(target))
     original, files = _size(spark, source, before)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plantpulse.functions.columns import finite, share
 from plantpulse.operators.buckets import robot_cells, trend_of_cells
@@ -17,7 +17,11 @@ def statistics(routed: DataFrame) -> DataFrame:
 
     Every robot weighs the same, however many readings it has; without values all are 0.
     """
-    columns = [F.count("*").alias("total_records")]
+    return routed.agg(F.count("*").alias("total_records"), *_robot_mean_columns())
+
+
+def _robot_mean_columns() -> list[Column]:
+    columns = []
     for m in METRICS:
         mean = f"avg_{m}"
         columns += [
@@ -26,7 +30,7 @@ def statistics(routed: DataFrame) -> DataFrame:
             F.coalesce(F.min(mean), F.lit(0.0)).alias(f"{m}_min"),
             F.count(mean).alias(f"{m}_count"),
         ]
-    return routed.agg(*columns)
+    return columns
 
 
 def overview(readings: DataFrame, start: datetime, end: datetime, robot_ids=None) -> DataFrame:
@@ -39,12 +43,12 @@ def overview(readings: DataFrame, start: datetime, end: datetime, robot_ids=None
     per_robot = cells.groupBy("robot_id").agg(
         *[F.try_divide(F.sum(f"sum_{m}"), F.sum(f"cnt_{m}")).alias(f"avg_{m}") for m in METRICS],
         F.sum("data_count").alias("data_count"))
-    figures = statistics(per_robot).withColumnRenamed("total_records", "robots")
-    total = per_robot.agg(F.coalesce(F.sum("data_count"), F.lit(0)).alias("records"))
-    summary = _as_rows(figures, "summary", F.lit("all"))
-    records = _as_rows(total, "summary", F.lit("all"))
+    figures = per_robot.agg(
+        F.count("*").alias("robots"), F.coalesce(F.sum("data_count"), F.lit(0)).alias("records"),
+        *_robot_mean_columns())
     trend = trend_of_cells(cells, "hour")
-    return summary.unionByName(records).unionByName(_as_rows(trend, "trend", F.col("time_label")))
+    return _as_rows(figures, "summary", F.lit("all")).unionByName(
+        _as_rows(trend, "trend", F.col("time_label")))
 
 
 def _as_rows(df: DataFrame, section: str, label) -> DataFrame:

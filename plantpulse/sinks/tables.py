@@ -27,45 +27,43 @@ def with_partitions(readings: DataFrame, time: str = "event_time") -> DataFrame:
         "dt": F.date_format(time, "yyyy-MM-dd"), "hr": F.date_format(time, "HH")})
 
 
-def spread(df: DataFrame, columns: list[str], salts: int = 1, by: str | None = None) -> DataFrame:
-    """Bring the rows of a partition value together, in up to `salts` tasks each.
+def gathered(df: DataFrame, *columns: str) -> DataFrame:
+    """Bring the rows of a partition value together before a partitioned write.
 
-    Without this every task writes a file into every partition; with one task per value a large day
-    would be written by a single task.
+    Without this every task writes a file into every partition. Adaptive execution splits a value that
+    is too large for one task and merges small ones, so neither a busy day nor a quiet one hurts.
     """
-    if salts <= 1 or by is None:
-        return df.repartition(*columns)
-    return df.repartition(*columns, F.pmod(F.xxhash64(by), F.lit(salts)))
+    return df.hint("rebalance", *columns)
 
 
-def append_readings(readings: DataFrame, path: str, salts: int = 8) -> None:
+def append_readings(readings: DataFrame, path: str) -> None:
     """Append to a table partitioned by day."""
     rows = with_partitions(readings).drop("hr")
-    spread(rows, ["dt"], salts, "data_id").write.mode("append").partitionBy("dt").parquet(path)
+    gathered(rows, "dt").write.mode("append").partitionBy("dt").parquet(path)
 
 
 def overwrite_partitions(df: DataFrame, path: str, columns: list[str], fmt: str = "parquet") -> None:
     """Replace only the partitions that the rows touch."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (gathered(df, *columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*columns).format(fmt).save(path))
 
 
 def save_fact_table(readings: DataFrame, table: str, strategy: str = "HOURLY", buckets: int = FACT_BUCKETS,
                     bucket_by: str = "robot_id", sort_by: str = "event_time", fmt: str = "orc",
-                    codec: str = "zlib", path: str | None = None, salts: int = 8) -> None:
+                    codec: str = "zlib", path: str | None = None) -> None:
     """The history table: partitioned by strategy, bucketed by robot, sorted by time.
 
-    Buckets spare aggregations and joins on the robot their shuffle. A strategy that partitions by the
-    bucket column itself is written without buckets.
+    Buckets spare aggregations and joins on the robot their shuffle. Rows are gathered by partition
+    and bucket; a bucket too large for one task becomes several files of that bucket. A strategy that
+    partitions by the bucket column itself is written without buckets.
     """
     columns = STRATEGIES[strategy]
     rows = with_partitions(readings).drop(*[c for c in ("dt", "hr") if c not in columns])
     if bucket_by in columns:
-        writer = spread(rows, columns, salts, sort_by).sortWithinPartitions(*columns, sort_by).write
+        writer = gathered(rows, *columns).sortWithinPartitions(*columns, sort_by).write
     else:
-        # one task per (partition, bucket): each writes exactly one bucket file of its partition
-        writer = (rows.repartition(*columns, F.pmod(F.hash(bucket_by), F.lit(buckets)))
-                  .write.bucketBy(buckets, bucket_by).sortBy(sort_by))
+        marked = rows.withColumn("__bucket", F.pmod(F.hash(bucket_by), F.lit(buckets)))
+        writer = gathered(marked, *columns, "__bucket").drop("__bucket").write.bucketBy(buckets, bucket_by).sortBy(sort_by)
     writer = writer.mode("overwrite").format(fmt).option("compression", codec).partitionBy(*columns)
     if path:
         writer = writer.option("path", path)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plantpulse.functions.columns import share
 from plantpulse.functions.validate import stream_reason
+from plantpulse.sinks.tables import gathered
 from plantpulse.sources.messages import parse_messages, to_readings
 
 # Flush interval, and how far apart repeats of a reading are recognised.
@@ -45,7 +46,7 @@ def ingest_writer(path: str):
         rows = screened(batch).persist()
         try:
             good = accepted(rows).withColumn("dt", F.date_format("event_time", "yyyy-MM-dd"))
-            good.write.mode("overwrite").partitionBy("dt").parquet(batch_folder(f"{path}/readings", batch_id))
+            gathered(good, "dt").write.mode("overwrite").partitionBy("dt").parquet(batch_folder(f"{path}/readings", batch_id))
             rejected(rows).write.mode("overwrite").parquet(batch_folder(f"{path}/quarantine", batch_id))
             counts = rows.agg(F.count("*").alias("rows"), F.count_if(F.col("reason").isNotNull()).alias("failed")).first()
         finally:
