@@ -227,19 +227,12 @@ def q_desensitize_noise(spark, d):
 
 
 def q_robot_updates(spark, d):
-    o = star.table(spark, d, "orders")
-    updates = o.select(
-        star._code("R", "o_custkey", 6).alias("robot_id"),
-        F.when(F.col("o_orderstatus") == "O", 1).otherwise(0).alias("status"),
-        F.concat(F.lit("DOCK-"), F.substring("o_orderpriority", 1, 1)).alias("location"),
-        F.col("o_orderdate").alias("update_time"))
-    out = robots.upsert_robots(star.dim_robot(spark, d), updates)
+    out = robots.upsert_robots(star.dim_robot(spark, d), star.robot_updates(spark, d))
     return out.select("robot_id", "robot_name", "status", "location", "update_time")
 
 
 def q_status_by_ids(spark, d):
-    ids = star.table(spark, d, "supplier").select(star._code("R", "s_suppkey", 6).alias("robot_id"))
-    return robots.status_by_ids(star.robot_status(spark, d), ids=ids).select("robot_id", "robot_name", "status")
+    return robots.status_by_ids(star.robot_status(spark, d), ids=star.listed_robots(spark, d)).select("robot_id", "robot_name", "status")
 
 
 def q_status_topics(spark, d):

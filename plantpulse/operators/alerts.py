@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from plantpulse.functions.metrics import long_form
 from plantpulse.functions.timefn import seconds_between
-from plantpulse.operators.ordered import islands
+from plantpulse.operators.ordered import CHUNK, islands, with_chunk
 from plantpulse.schemas import ALERT_CONDITION, METRICS
+from plantpulse.session import small
 
 
 def parsed_rules(rules: DataFrame) -> DataFrame:
@@ -22,34 +23,42 @@ def parsed_rules(rules: DataFrame) -> DataFrame:
 def judged(readings: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
     """One row per rule and reading that carries the rule's metric, with `breach` set.
 
-    Rules join on the metric name. No hint is given: Spark broadcasts the rules while they are small
-    and splits the few large metric partitions as skewed ones when they are not.
+    Rules join on the metric name, by broadcast while they are few. Beyond that it is a shuffled join,
+    whose few large metric partitions adaptive execution splits.
     """
-    values = long_form(readings, [*keys, "event_time", "data_id"], METRICS).filter(~F.isnan("value"))
-    joined = values.join(rules.select("rule_id", "metric", "operator", "threshold"), "metric")
+    kept = [*keys, "event_time", "data_id", *[c for c in (CHUNK,) if c in readings.columns]]
+    values = long_form(readings, kept, METRICS).filter(~F.isnan("value"))
+    joined = values.join(small(rules.select("rule_id", "metric", "operator", "threshold")), "metric")
     v, limit, op = F.col("value"), F.col("threshold"), F.col("operator")
     breach = (
         F.when(op == ">", v > limit).when(op == "<", v < limit)
         .when(op == ">=", v >= limit).when(op == "<=", v <= limit)
         .when(op == "=", v == limit).otherwise(F.lit(False)))
-    return joined.select("rule_id", *keys, "event_time", "data_id", breach.alias("breach"))
+    return joined.select("rule_id", *kept, breach.alias("breach"))
 
 
-def breach_runs(readings: DataFrame, rules: DataFrame, keys: list[str], chunk_seconds: int = 3600) -> DataFrame:
-    """Every unbroken run of breaching readings per rule and key."""
-    rows = judged(readings, parsed_rules(rules), keys)
-    return islands(rows, ["rule_id", *keys], "event_time", "data_id", "breach", chunk_seconds)
+def breach_runs(readings: DataFrame, rules: DataFrame, keys: list[str], chunk_seconds: int = 3600,
+                busy_rows: int | None = None) -> DataFrame:
+    """Every unbroken run of breaching readings per rule and key.
+
+    Readings are shuffled once, before they fan out into one row per rule: all later steps group by the
+    key and its chunk, so the rules' rows stay where their reading is.
+    """
+    slim = readings.select(*keys, "event_time", "data_id", *METRICS)
+    placed = with_chunk(slim, keys, "event_time", chunk_seconds, busy_rows).repartition(CHUNK, *keys)
+    rows = judged(placed, parsed_rules(rules), keys)
+    return islands(rows, ["rule_id", *keys], "event_time", "data_id", "breach")
 
 
 def sustained_alerts(readings: DataFrame, rules: DataFrame, keys=("robot_id", "sensor_id"),
-                     chunk_seconds: int = 3600) -> DataFrame:
+                     chunk_seconds: int = 3600, busy_rows: int | None = None) -> DataFrame:
     """One alert per run that lasts at least the rule's duration, from first to last breaching reading."""
     keys = list(keys)
-    runs = breach_runs(readings, rules, keys, chunk_seconds)
+    runs = breach_runs(readings, rules, keys, chunk_seconds, busy_rows)
     details = parsed_rules(rules).select("rule_id", "alert_type", "severity", "duration")
     lasted = seconds_between("start_time", "end_time")
     return (
-        runs.join(details, "rule_id").filter(lasted >= F.col("duration"))
+        runs.join(small(details), "rule_id").filter(lasted >= F.col("duration"))
         .select("rule_id", "alert_type", "severity", *keys, "start_time", "end_time", "readings",
                 lasted.alias("lasted_seconds")))
 

@@ -1,8 +1,9 @@
-"""Ordered computations that never put a whole key, or the whole table, into one task.
+"""Ordered computations that never put a busy key, or the whole table, into one task.
 
-A plain window over a key sorts all rows of that key in one task. Here the time line of a key is cut
-into chunks: the window runs per (key, chunk), and one small row per chunk carries what the next chunk
-needs. A key that holds a third of the table is then spread over as many tasks as it has chunks.
+A plain window over a key sorts all rows of that key in one task. Here the time line of every busy key
+is cut into chunks: the window runs per (key, chunk), and one small row per chunk carries what the next
+chunk needs. A key that holds a third of the table is then spread over as many tasks as it has chunks.
+Keys of ordinary size stay in one chunk each, so they pay almost nothing for it.
 """
 
 from __future__ import annotations
@@ -12,38 +13,56 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from plantpulse.functions.timefn import epoch_seconds
 from plantpulse.session import pin
 
-_CHUNK = "__chunk"
+CHUNK = "__chunk"
+WHOLE = -(1 << 62)  # chunk number of keys that are not cut; no time slot is that early
+# A key is busy from this many rows on; the second figure bounds how many keys can be busy.
+BUSY_ROWS = 1_000_000
+MOST_BUSY_KEYS = 20_000
 
 
-def with_chunk(df: DataFrame, time: str, seconds: int) -> DataFrame:
-    return df.withColumn(_CHUNK, F.floor(epoch_seconds(time) / F.lit(seconds)).cast("bigint"))
+def with_chunk(df: DataFrame, keys: list[str], time: str, seconds: int, busy_rows: int | None = None) -> DataFrame:
+    """Adds the chunk number: the time slot for busy keys, WHOLE for all others.
+
+    A key is busy when it has more than `busy_rows` rows and more than 1/20,000 of all rows. So there
+    are fewer than 20,000 busy keys whatever the size of the table, which is why they may be broadcast.
+    """
+    least = BUSY_ROWS if busy_rows is None else busy_rows
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    portion = df.agg(F.count("*")).scalar() / F.lit(MOST_BUSY_KEYS)
+    busy = sizes.filter((F.col("__n") > least) & (F.col("__n") > portion)).select(*keys, F.lit(True).alias("__busy"))
+    slot = F.floor(epoch_seconds(time) / F.lit(seconds)).cast("bigint")
+    return (
+        df.join(F.broadcast(busy), keys, "left")
+        .withColumn(CHUNK, F.when(F.col("__busy"), slot).otherwise(F.lit(WHOLE))).drop("__busy"))
 
 
-def islands(df: DataFrame, keys: list[str], time: str, tie: str, inside: str, chunk_seconds: int = 3600) -> DataFrame:
+def islands(df: DataFrame, keys: list[str], time: str, tie: str, inside: str, chunk_seconds: int = 3600,
+            busy_rows: int | None = None) -> DataFrame:
     """Maximal runs of rows with `inside` true, per key in (time, tie) order.
 
     Result: keys, start_time, end_time, readings. A run ends at the first row that is not inside.
     Rows are numbered by how many outside rows came before them: a local count per chunk, plus the
-    total of the earlier chunks.
+    total of the earlier chunks. Rows that carry a chunk number already keep it.
     """
-    cut = with_chunk(df, time, chunk_seconds)
-    local = Window.partitionBy(*keys, _CHUNK).orderBy(time, tie).rowsBetween(Window.unboundedPreceding, 0)
+    cut = df if CHUNK in df.columns else with_chunk(df, keys, time, chunk_seconds, busy_rows)
+    group = [CHUNK, *keys]
+    local = Window.partitionBy(*group).orderBy(time, tie).rowsBetween(Window.unboundedPreceding, 0)
     outside = F.when(F.col(inside), 0).otherwise(1)
     pieces = (
         cut.withColumn("__gap", F.sum(outside).over(local))
         .filter(F.col(inside))
-        .groupBy(*keys, _CHUNK, "__gap")
+        .groupBy(*group, "__gap")
         .agg(F.min(time).alias("__from"), F.max(time).alias("__to"), F.count("*").alias("__n"))
     )
-    earlier = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    # only keys with more than one chunk have earlier chunks
     gaps_before = (
-        cut.groupBy(*keys, _CHUNK).agg(F.sum(outside).alias("__gaps"))
-        .withColumn("__before", F.coalesce(F.sum("__gaps").over(earlier), F.lit(0)))
-        .drop("__gaps")
+        cut.filter(F.col(CHUNK) != WHOLE).groupBy(*group).agg(F.sum(outside).alias("__gaps"))
+        .withColumn("__before", F.sum("__gaps").over(earlier)).drop("__gaps")
     )
     return (
-        pieces.join(gaps_before, [*keys, _CHUNK])
-        .withColumn("__run", F.col("__gap") + F.col("__before"))
+        pieces.join(gaps_before, group, "left")
+        .withColumn("__run", F.col("__gap") + F.coalesce("__before", F.lit(0)))
         .groupBy(*keys, "__run")
         .agg(F.min("__from").alias("start_time"), F.max("__to").alias("end_time"),
              F.sum("__n").alias("readings"))
@@ -52,20 +71,23 @@ def islands(df: DataFrame, keys: list[str], time: str, tie: str, inside: str, ch
 
 
 def with_previous(df: DataFrame, keys: list[str], order: list[str], value: str, name: str,
-                  time: str, chunk_seconds: int = 86400) -> DataFrame:
+                  time: str, chunk_seconds: int = 86400, busy_rows: int | None = None) -> DataFrame:
     """`lag(value)` per key in `order` (whose first column is `time`), split by time chunks."""
-    cut = with_chunk(df, time, chunk_seconds)
-    local = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
+    cut = with_chunk(df, keys, time, chunk_seconds, busy_rows)
+    group = [CHUNK, *keys]
+    local = Window.partitionBy(*group).orderBy(*order)
     # wrapped in a struct, so that a NULL value is not mistaken for "no row before"
     own = F.lag(F.struct(F.col(value).alias("v"))).over(local)
-    last = cut.groupBy(*keys, _CHUNK).agg(F.max(F.struct(*order, F.col(value).alias("__v"))).alias("__last"))
-    chunks = Window.partitionBy(*keys).orderBy(_CHUNK)
-    carried = last.select(*keys, _CHUNK, F.lag(F.struct(F.col("__last.__v").alias("v"))).over(chunks).alias("__carried"))
+    # only keys with more than one chunk have anything to carry
+    busy = cut.filter(F.col(CHUNK) != WHOLE)
+    last = busy.groupBy(*group).agg(F.max(F.struct(*order, F.col(value).alias("__v"))).alias("__last"))
+    chunks = Window.partitionBy(*keys).orderBy(CHUNK)
+    carried = last.select(*group, F.lag(F.struct(F.col("__last.__v").alias("v"))).over(chunks).alias("__carried"))
     return (
         cut.withColumn("__own", own)
-        .join(carried, [*keys, _CHUNK])
+        .join(carried, group, "left")
         .withColumn(name, F.coalesce("__own", "__carried")["v"])
-        .drop("__own", "__carried", _CHUNK)
+        .drop("__own", "__carried", CHUNK)
     )
 
 

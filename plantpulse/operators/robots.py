@@ -76,10 +76,10 @@ def command_latest(events: DataFrame) -> DataFrame:
         F.max("event_time").alias("event_time"), F.count("*").alias("changes"))
 
 
-def command_transitions(events: DataFrame, chunk_seconds: int = 30 * 86400) -> DataFrame:
+def command_transitions(events: DataFrame, chunk_seconds: int = 30 * 86400, busy_rows: int | None = None) -> DataFrame:
     """Each status change with the one before it and whether the life cycle allows it."""
     linked = with_previous(events, ["command_id"], ["event_time", "event_seq", "status"], "status",
-                           "previous_status", "event_time", chunk_seconds)
+                           "previous_status", "event_time", chunk_seconds, busy_rows)
     change = F.concat_ws(">", F.coalesce("previous_status", F.lit("")), "status")
     return linked.withColumn("legal", change.isin([f"{a}>{b}" for a, b in LEGAL_CHANGES]))
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def build_session(app: str = "plantpulse", master: str | None = None, **conf: str) -> SparkSession:
@@ -23,6 +24,7 @@ def build_session(app: str = "plantpulse", master: str | None = None, **conf: st
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
     )
     if master:
@@ -57,3 +59,9 @@ def pin(df):
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def small(df, rows: int = 20_000):
+    """Broadcast hint for a table that turns out to have at most `rows` rows; larger ones are left to
+    the planner. For configuration tables whose size Spark cannot know, such as rules made in Python."""
+    return broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -20,11 +20,11 @@ def to_events(readings: DataFrame, *metrics: str, keep_nulls: bool = False) -> D
         metric_map(*names, keep_nulls=keep_nulls).alias("metrics"), "status")
 
 
-def to_readings(events: DataFrame) -> DataFrame:
-    """Message form to wide rows; a metric the message lacks becomes NULL."""
+def to_readings(events: DataFrame, *more: str) -> DataFrame:
+    """Message form to wide rows; a metric the message lacks becomes NULL. `more` columns are kept."""
     return events.select(
         "data_id", "event_time", "robot_id", "sensor_id", "sensor_type",
-        *[metric_value("metrics", m).alias(m) for m in _METRIC_COLUMNS], "status")
+        *[metric_value("metrics", m).alias(m) for m in _METRIC_COLUMNS], "status", *more)
 
 
 def topic_rows(events: DataFrame) -> DataFrame:

@@ -6,47 +6,54 @@ column pruning still reach the parquet scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from plantpulse.schemas import ALERT_RULE, SEED_RULES
 
+# Column types of the tables; stating them spares a look into the files before each query.
+TABLES = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+}
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def _code(prefix: str, key, width: int) -> Column:
-    """Prefix and zero-padded number; longer numbers keep all their digits."""
-    text = (F.col(key) if isinstance(key, str) else key).cast("string")
-    return F.concat(F.lit(prefix), F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0")))
+def code(prefix: str, key: str, width: int) -> str:
+    """Expression: prefix and zero-padded number; longer numbers keep all their digits."""
+    text = f"CAST({key} AS STRING)"
+    return f"concat('{prefix}', lpad({text}, greatest({width}, length({text})), '0'))"
 
 
-def _case(column: Column, choices: dict, default) -> Column:
-    out = F.lit(default)
-    for value, label in reversed(choices.items()):
-        out = F.when(column == value, label).otherwise(out)
-    return out
+_K = "CAST(get_json_object(props, '$.k') AS DOUBLE)"
 
 
 def events_as_readings(events: DataFrame) -> DataFrame:
-    kind = F.col("event_type")
-    k = F.get_json_object("props", "$.k").cast("double")
-    value = F.col("value")
-    placed = F.when(kind == "signup", value)
-    return events.select(
-        F.col("event_id").cast("string").alias("data_id"),
-        F.col("ts").alias("event_time"),
-        _code("R", "user_id", 6).alias("robot_id"),
-        _code("S", F.col("event_id") % 50, 3).alias("sensor_id"),
-        _case(kind, {"view": "TEMPERATURE", "click": "HUMIDITY", "purchase": "PRESSURE",
-                     "signup": "POSITION"}, "VIBRATION").alias("sensor_type"),
-        F.when(kind != "error", value).alias("temperature"),
-        k.alias("humidity"),
-        (F.lit(950.0) + value).alias("pressure"),
-        placed.alias("position_x"),
-        F.when(kind == "signup", k).alias("position_y"),
-        (placed + k).alias("position_z"),
-        F.when(kind == "error", "ABNORMAL").otherwise("NORMAL").alias("status"),
+    return events.selectExpr(
+        "CAST(event_id AS STRING) AS data_id",
+        "ts AS event_time",
+        f"{code('R', 'user_id', 6)} AS robot_id",
+        f"{code('S', 'event_id % 50', 3)} AS sensor_id",
+        "CASE event_type WHEN 'view' THEN 'TEMPERATURE' WHEN 'click' THEN 'HUMIDITY' WHEN 'purchase' THEN 'PRESSURE' "
+        "WHEN 'signup' THEN 'POSITION' ELSE 'VIBRATION' END AS sensor_type",
+        "CASE WHEN event_type <> 'error' THEN value END AS temperature",
+        f"{_K} AS humidity",
+        "950D + value AS pressure",
+        "CASE WHEN event_type = 'signup' THEN value END AS position_x",
+        f"CASE WHEN event_type = 'signup' THEN {_K} END AS position_y",
+        f"CASE WHEN event_type = 'signup' THEN value + {_K} END AS position_z",
+        "CASE WHEN event_type = 'error' THEN 'ABNORMAL' ELSE 'NORMAL' END AS status",
     )
 
 
@@ -55,141 +62,119 @@ def readings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dim_robot(spark: SparkSession, folder: str) -> DataFrame:
-    customers = table(spark, folder, "customer")
-    nations = table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return customers.join(nations, "c_nationkey").select(
-        _code("R", "c_custkey", 6).alias("robot_id"),
-        F.col("c_name").alias("robot_name"),
-        F.col("c_mktsegment").alias("robot_type"),
-        _code("M", F.col("c_nationkey"), 3).alias("model"),
-        F.col("n_name").alias("location"),
-        F.col("c_mktsegment").alias("department"),
-        F.to_timestamp_ntz(F.lit("2023-06-01 00:00:00")).alias("update_time"),
-        F.when(F.col("c_acctbal") >= 1000, 1).otherwise(0).alias("status"),
-    )
+    nations = table(spark, folder, "nation").selectExpr("n_nationkey AS c_nationkey", "n_name")
+    return table(spark, folder, "customer").join(nations, "c_nationkey").selectExpr(
+        f"{code('R', 'c_custkey', 6)} AS robot_id", "c_name AS robot_name", "c_mktsegment AS robot_type",
+        f"{code('M', 'c_nationkey', 3)} AS model", "n_name AS location", "c_mktsegment AS department",
+        "TIMESTAMP_NTZ '2023-06-01 00:00:00' AS update_time",
+        "CASE WHEN c_acctbal >= 1000 THEN 1 ELSE 0 END AS status")
 
 
 def dim_sensor(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "part").select(
-        _code("S", "p_partkey", 3).alias("sensor_id"),
-        F.col("p_name").alias("sensor_name"),
-        _case(F.col("p_size") % 6, {0: "TEMPERATURE", 1: "HUMIDITY", 2: "PRESSURE", 3: "POSITION",
-                                    4: "VIBRATION"}, "NOISE").alias("sensor_type"),
-        F.col("p_brand").alias("manufacturer"),
-        F.col("p_type").alias("model"),
-    )
+    return table(spark, folder, "part").selectExpr(
+        f"{code('S', 'p_partkey', 3)} AS sensor_id", "p_name AS sensor_name",
+        "CASE p_size % 6 WHEN 0 THEN 'TEMPERATURE' WHEN 1 THEN 'HUMIDITY' WHEN 2 THEN 'PRESSURE' "
+        "WHEN 3 THEN 'POSITION' WHEN 4 THEN 'VIBRATION' ELSE 'NOISE' END AS sensor_type",
+        "p_brand AS manufacturer", "p_type AS model")
 
 
 def robot_status(spark: SparkSession, folder: str) -> DataFrame:
-    balance, place = F.col("c_acctbal"), F.col("c_nationkey")
-    return table(spark, folder, "customer").select(
-        _code("R", "c_custkey", 6).alias("robot_id"),
-        F.col("c_name").alias("robot_name"),
-        F.col("c_mktsegment").alias("robot_type"),
-        F.when(balance >= 1000, "ONLINE").otherwise("OFFLINE").alias("status"),
-        _case(place % 4, {0: "IDLE", 1: "RUNNING", 2: "STOPPED"}, "PAUSED").alias("task_status"),
-        (place * F.lit(4.0)).alias("battery_level"),
-        F.round(balance / 80, 2).alias("temperature"),
-        F.when(place != 24, F.create_map(
-            F.lit("motor_temperature"), balance / 75, F.lit("line_pressure"), balance / 8,
-        )).alias("sensor_data"),
-    )
+    return table(spark, folder, "customer").selectExpr(
+        f"{code('R', 'c_custkey', 6)} AS robot_id", "c_name AS robot_name", "c_mktsegment AS robot_type",
+        "CASE WHEN c_acctbal >= 1000 THEN 'ONLINE' ELSE 'OFFLINE' END AS status",
+        "CASE c_nationkey % 4 WHEN 0 THEN 'IDLE' WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'STOPPED' ELSE 'PAUSED' END AS task_status",
+        "c_nationkey * 4D AS battery_level", "round(c_acctbal / 80, 2) AS temperature",
+        "CASE WHEN c_nationkey <> 24 THEN map('motor_temperature', c_acctbal / 75, 'line_pressure', c_acctbal / 8) END "
+        "AS sensor_data")
 
 
 def commands(spark: SparkSession, folder: str) -> DataFrame:
-    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
-    started = F.col("o_orderdate") + F.make_dt_interval(secs=(key % 300))
-    ran = status.isin("F", "P")
-    return table(spark, folder, "orders").select(
-        key.cast("string").alias("command_id"),
-        _code("R", "o_custkey", 6).alias("robot_id"),
-        _case(key % 5, {0: "START_TASK", 1: "STOP_TASK", 2: "PAUSE_TASK", 3: "RESUME_TASK"},
-              "SELF_TEST").alias("command_type"),
-        F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"),
-        _case(status, {"O": "PENDING", "F": "EXECUTED"}, "FAILED").alias("status"),
-        F.col("o_orderdate").alias("create_time"),
-        F.when(ran, started).alias("execute_time"),
-        F.when(status == "F", started + F.make_dt_interval(secs=(key % 97))).alias("complete_time"),
-        (key % 5).cast("int").alias("retry_count"),
-        F.lit(3).alias("max_retry"),
-    )
+    started = "o_orderdate + make_dt_interval(0, 0, 0, o_orderkey % 300)"
+    return table(spark, folder, "orders").selectExpr(
+        "CAST(o_orderkey AS STRING) AS command_id", f"{code('R', 'o_custkey', 6)} AS robot_id",
+        "CASE o_orderkey % 5 WHEN 0 THEN 'START_TASK' WHEN 1 THEN 'STOP_TASK' WHEN 2 THEN 'PAUSE_TASK' "
+        "WHEN 3 THEN 'RESUME_TASK' ELSE 'SELF_TEST' END AS command_type",
+        "CAST(substr(o_orderpriority, 1, 1) AS INT) AS priority",
+        "CASE o_orderstatus WHEN 'O' THEN 'PENDING' WHEN 'F' THEN 'EXECUTED' ELSE 'FAILED' END AS status",
+        "o_orderdate AS create_time",
+        f"CASE WHEN o_orderstatus IN ('F', 'P') THEN {started} END AS execute_time",
+        f"CASE WHEN o_orderstatus = 'F' THEN {started} + make_dt_interval(0, 0, 0, o_orderkey % 97) END AS complete_time",
+        "CAST(o_orderkey % 5 AS INT) AS retry_count", "3 AS max_retry")
 
 
 def command_events(spark: SparkSession, folder: str) -> DataFrame:
     """Command log: one PENDING row per order, one further row per line item."""
-    opened = table(spark, folder, "orders").select(
-        F.col("o_orderkey").cast("string").alias("command_id"),
-        F.lit(0).alias("event_seq"), F.lit("PENDING").alias("status"),
-        F.col("o_orderdate").alias("event_time"))
-    flag, line = F.col("l_returnflag"), F.col("l_linestatus")
-    later = table(spark, folder, "lineitem").select(
-        F.col("l_orderkey").cast("string").alias("command_id"),
-        F.col("l_linenumber").alias("event_seq"),
-        F.when(flag == "R", "FAILED").when(flag == "A", "EXECUTED")
-        .when(line == "O", "RETRYING").otherwise("CANCELLED").alias("status"),
-        F.col("l_shipdate").alias("event_time"))
+    opened = table(spark, folder, "orders").selectExpr(
+        "CAST(o_orderkey AS STRING) AS command_id", "0 AS event_seq", "'PENDING' AS status", "o_orderdate AS event_time")
+    later = table(spark, folder, "lineitem").selectExpr(
+        "CAST(l_orderkey AS STRING) AS command_id", "l_linenumber AS event_seq",
+        "CASE WHEN l_returnflag = 'R' THEN 'FAILED' WHEN l_returnflag = 'A' THEN 'EXECUTED' "
+        "WHEN l_linestatus = 'O' THEN 'RETRYING' ELSE 'CANCELLED' END AS status",
+        "l_shipdate AS event_time")
     return opened.unionByName(later)
 
 
 def subscriptions(spark: SparkSession, folder: str) -> DataFrame:
     """Each owner follows its own robot (some one type only); each region follows one type everywhere."""
-    key = F.col("c_custkey")
-    own = table(spark, folder, "customer").select(
-        F.concat(F.lit("SUB-C"), key.cast("string")).alias("subscription_id"),
-        F.array(_code("R", "c_custkey", 6)).alias("robot_ids"),
-        F.when(F.col("c_nationkey") % 2 == 0, F.array(F.lit("TEMPERATURE"), F.lit("PRESSURE")))
-        .alias("sensor_types"))
-    wide = table(spark, folder, "region").select(
-        F.concat(F.lit("SUB-G"), F.col("r_regionkey").cast("string")).alias("subscription_id"),
-        F.lit(None).cast("array<string>").alias("robot_ids"),
-        F.array(_case(F.col("r_regionkey"), {0: "TEMPERATURE", 1: "HUMIDITY", 2: "PRESSURE",
-                                             3: "POSITION"}, "VIBRATION")).alias("sensor_types"))
+    own = table(spark, folder, "customer").selectExpr(
+        "concat('SUB-C', CAST(c_custkey AS STRING)) AS subscription_id",
+        f"array({code('R', 'c_custkey', 6)}) AS robot_ids",
+        "CASE WHEN c_nationkey % 2 = 0 THEN array('TEMPERATURE', 'PRESSURE') END AS sensor_types")
+    wide = table(spark, folder, "region").selectExpr(
+        "concat('SUB-G', CAST(r_regionkey AS STRING)) AS subscription_id",
+        "CAST(NULL AS ARRAY<STRING>) AS robot_ids",
+        "array(CASE r_regionkey WHEN 0 THEN 'TEMPERATURE' WHEN 1 THEN 'HUMIDITY' WHEN 2 THEN 'PRESSURE' "
+        "WHEN 3 THEN 'POSITION' ELSE 'VIBRATION' END) AS sensor_types")
     return own.unionByName(wide)
 
 
+def robot_updates(spark: SparkSession, folder: str) -> DataFrame:
+    """Dimension updates: one per order."""
+    return table(spark, folder, "orders").selectExpr(
+        f"{code('R', 'o_custkey', 6)} AS robot_id", "CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS status",
+        "concat('DOCK-', substr(o_orderpriority, 1, 1)) AS location", "o_orderdate AS update_time")
+
+
+def listed_robots(spark: SparkSession, folder: str) -> DataFrame:
+    """Robot ids to look up: one per supplier."""
+    return table(spark, folder, "supplier").selectExpr(f"{code('R', 's_suppkey', 6)} AS robot_id")
+
+
 def alert_rules(spark: SparkSession, extra=()) -> DataFrame:
     return spark.createDataFrame(list(SEED_RULES) + list(extra), ALERT_RULE)
 
 
 def operation_log(spark: SparkSession, folder: str) -> DataFrame:
-    key = F.col("o_orderkey")
-    return table(spark, folder, "orders").select(
-        key.cast("string").alias("log_id"),
-        F.concat(F.lit("user"), F.col("o_custkey").cast("string")).alias("user_id"),
-        F.when(key % 2 == 0, "query").otherwise("export").alias("operation"),
-        (key % 1000).cast("int").alias("request_time"),
-        F.col("o_orderdate").alias("create_time"))
+    return table(spark, folder, "orders").selectExpr(
+        "CAST(o_orderkey AS STRING) AS log_id", "concat('user', CAST(o_custkey AS STRING)) AS user_id",
+        "CASE WHEN o_orderkey % 2 = 0 THEN 'query' ELSE 'export' END AS operation",
+        "CAST(o_orderkey % 1000 AS INT) AS request_time", "o_orderdate AS create_time")
 
 
 def backup_tasks(spark: SparkSession, folder: str) -> DataFrame:
-    key = F.col("o_orderkey")
-    return table(spark, folder, "orders").select(
-        key.cast("string").alias("task_id"),
-        F.when(key % 7 == 0, "FULL_BACKUP").otherwise("INCREMENTAL_BACKUP").alias("task_type"),
-        _case(F.col("o_orderstatus"), {"F": "COMPLETED", "P": "FAILED"}, "RUNNING").alias("status"),
-        F.col("o_orderdate").alias("start_time"),
-        F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate") + F.make_dt_interval(secs=key % 3600))
-        .alias("end_time"),
-        F.floor("o_totalprice").cast("bigint").alias("backup_size"),
-        (key % 100 + 1).alias("file_count"))
+    return table(spark, folder, "orders").selectExpr(
+        "CAST(o_orderkey AS STRING) AS task_id",
+        "CASE WHEN o_orderkey % 7 = 0 THEN 'FULL_BACKUP' ELSE 'INCREMENTAL_BACKUP' END AS task_type",
+        "CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'P' THEN 'FAILED' ELSE 'RUNNING' END AS status",
+        "o_orderdate AS start_time",
+        "CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + make_dt_interval(0, 0, 0, o_orderkey % 3600) END AS end_time",
+        "CAST(floor(o_totalprice) AS BIGINT) AS backup_size", "o_orderkey % 100 + 1 AS file_count")
 
 
 def compression_tasks(spark: SparkSession, folder: str) -> DataFrame:
-    price = F.col("l_extendedprice")
-    return table(spark, folder, "lineitem").select(
-        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("task_id"),
-        F.when(F.col("l_linestatus") == "O", "COMPLETED").otherwise("FAILED").alias("status"),
-        F.col("l_quantity").cast("bigint").alias("compressed_files"),
-        F.floor(price).cast("bigint").alias("original_size"),
-        F.floor(price * (F.lit(1.0) - F.col("l_discount"))).cast("bigint").alias("compressed_size"),
-        F.col("l_returnflag").alias("compression_algorithm"))
+    return table(spark, folder, "lineitem").selectExpr(
+        "concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING)) AS task_id",
+        "CASE WHEN l_linestatus = 'O' THEN 'COMPLETED' ELSE 'FAILED' END AS status",
+        "CAST(l_quantity AS BIGINT) AS compressed_files",
+        "CAST(floor(l_extendedprice) AS BIGINT) AS original_size",
+        "CAST(floor(l_extendedprice * (1D - l_discount)) AS BIGINT) AS compressed_size",
+        "l_returnflag AS compression_algorithm")
 
 
 def run_log(spark: SparkSession, folder: str) -> DataFrame:
     """Job runs: one per line item; quantity is the record count, a returned line is a failed run."""
-    return table(spark, folder, "lineitem").select(
-        F.when(F.col("l_linestatus") == "O", "DAILY").otherwise("WEEKLY").alias("job_type"),
-        F.when(F.col("l_returnflag") == "R", "FAILED").otherwise("SUCCESS").alias("status"),
-        F.col("l_quantity").cast("bigint").alias("records"),
-        (F.col("l_quantity").cast("bigint") % 5).alias("failed_records"),
-        F.col("l_extendedprice").alias("duration_ms"))
+    return table(spark, folder, "lineitem").selectExpr(
+        "CASE WHEN l_linestatus = 'O' THEN 'DAILY' ELSE 'WEEKLY' END AS job_type",
+        "CASE WHEN l_returnflag = 'R' THEN 'FAILED' ELSE 'SUCCESS' END AS status",
+        "CAST(l_quantity AS BIGINT) AS records", "CAST(l_quantity AS BIGINT) % 5 AS failed_records",
+        "l_extendedprice AS duration_ms")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from plantpulse.functions.timefn import at
 from plantpulse.schemas import READINGS
 
+BROADCAST_IDS = 100_000
+
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
@@ -41,8 +43,8 @@ def in_time_range(df: DataFrame, start: datetime, end: datetime, time: str = "ev
 def with_ids(df: DataFrame, column: str, ids, listed: int = 1000) -> DataFrame:
     """Optional IN filter: None or an empty list keeps every row.
 
-    Short lists become a pushed-down IN predicate, longer ones a semi join whose strategy Spark
-    picks from the size of the list.
+    Short lists become a pushed-down IN predicate, longer ones a semi join: by broadcast up to a
+    known length, shuffled beyond.
     """
     ids = list(ids or [])
     if not ids:
@@ -50,7 +52,7 @@ def with_ids(df: DataFrame, column: str, ids, listed: int = 1000) -> DataFrame:
     if len(ids) <= listed:
         return df.filter(F.col(column).isin(ids))
     wanted = df.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], [column])
-    return df.join(wanted, column, "left_semi")
+    return df.join(F.broadcast(wanted) if len(ids) <= BROADCAST_IDS else wanted, column, "left_semi")
 
 
 def csv_files(spark: SparkSession, path: str, before: datetime | None = None, schema=READINGS) -> DataFrame:

@@ -8,6 +8,7 @@ from plantpulse.functions.timefn import seconds_between
 from plantpulse.operators.alerts import judged, parsed_rules
 from plantpulse.operators.ordered import islands
 from plantpulse.operators.robots import alert_messages, robot_alerts
+from plantpulse.session import small
 from plantpulse.streaming.ingest import batch_folder
 
 
@@ -43,7 +44,7 @@ def sustained_writer(rules: DataFrame, path: str, keys=("robot_id", "sensor_id")
                 F.max_by("breach", F.struct("event_time", "data_id")).alias("still_on"),
                 F.max("event_time").alias("last_seen"))
             known = (
-                runs.join(active.select("rule_id", "duration", "severity", "alert_type"), "rule_id")
+                runs.join(small(active.select("rule_id", "duration", "severity", "alert_type")), "rule_id")
                 .join(before.select(*group, "open_since", "alerted"), group, "left")
                 .join(last, group)
                 .withColumn("done", F.coalesce(

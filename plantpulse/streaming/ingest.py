@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from plantpulse.functions.columns import share
 from plantpulse.functions.validate import stream_reason
+from plantpulse.schemas import READINGS
 from plantpulse.sinks.tables import gathered
 from plantpulse.sources.messages import parse_messages, to_readings
 
@@ -22,35 +23,30 @@ def screened(messages: DataFrame, value: str = "value") -> DataFrame:
     return parsed.withColumn("reason", F.coalesce("parse_error", stream_reason())).drop("parse_error")
 
 
-def accepted(screened_rows: DataFrame) -> DataFrame:
-    return to_readings(screened_rows.filter(F.col("reason").isNull()))
-
-
-def rejected(screened_rows: DataFrame) -> DataFrame:
-    return screened_rows.filter(F.col("reason").isNotNull()).select("raw", "reason")
-
-
 def batch_folder(path: str, batch_id: int) -> str:
     return f"{path}/batch_id={batch_id}"
 
 
 def ingest_writer(path: str):
-    """Writer of one micro-batch below `path`: readings, quarantine, runs.
+    """Writer of one micro-batch: one pass, accepted and rejected rows side by side.
 
-    Every output goes to a folder named by the batch and is overwritten, so a batch that is replayed
-    after a failure replaces its own earlier output and nothing is stored twice.
+    Rows go to `rows/batch_id=N/outcome=accepted|rejected/dt=...`. The folder of a batch is overwritten,
+    so a batch that is replayed after a failure replaces its own earlier output and nothing is stored
+    twice. Counts and time of the batch go to `runs`.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         started = time.monotonic()
-        rows = screened(batch).persist()
-        try:
-            good = accepted(rows).withColumn("dt", F.date_format("event_time", "yyyy-MM-dd"))
-            gathered(good, "dt").write.mode("overwrite").partitionBy("dt").parquet(batch_folder(f"{path}/readings", batch_id))
-            rejected(rows).write.mode("overwrite").parquet(batch_folder(f"{path}/quarantine", batch_id))
-            counts = rows.agg(F.count("*").alias("rows"), F.count_if(F.col("reason").isNotNull()).alias("failed")).first()
-        finally:
-            rows.unpersist()
+        seen = Observation()
+        ok = F.col("reason").isNull()
+        rows = screened(batch).observe(seen, F.count("*").alias("rows"), F.count_if(~ok).alias("failed"))
+        wide = to_readings(rows, "raw", "reason")
+        split = wide.withColumns({
+            "raw": F.when(~ok, F.col("raw")), "outcome": F.when(ok, "accepted").otherwise("rejected"),
+            "dt": F.when(ok, F.date_format("event_time", "yyyy-MM-dd"))})
+        (gathered(split, "outcome", "dt").write.mode("overwrite").partitionBy("outcome", "dt")
+         .parquet(batch_folder(f"{path}/rows", batch_id)))
+        counts = seen.get
         batch.sparkSession.createDataFrame(
             [(int(counts["rows"]), int(counts["failed"]), float((time.monotonic() - started) * 1000))],
             "records long, failed_records long, duration_ms double",
@@ -67,12 +63,17 @@ def start_ingest(messages: DataFrame, path: str, checkpoint: str, available_now:
     return writer.start()
 
 
+def _stored(spark: SparkSession, path: str, outcome: str) -> DataFrame:
+    schema = T.StructType([*READINGS.fields, *[T.StructField(n, T.StringType()) for n in ("raw", "reason", "outcome", "dt")]])
+    return spark.read.schema(schema).parquet(f"{path}/rows").filter(F.col("outcome") == outcome)
+
+
 def ingested(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/readings").drop("batch_id", "dt")
+    return _stored(spark, path, "accepted").select(*READINGS.fieldNames())
 
 
 def quarantine(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/quarantine").drop("batch_id")
+    return _stored(spark, path, "rejected").select("raw", "reason")
 
 
 def processing_stats(spark: SparkSession, path: str) -> DataFrame:

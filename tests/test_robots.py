@@ -26,7 +26,7 @@ def test_seed_rules_parse(spark):
 def test_alert_island(spark, readings):
     hot = [at(s, temperature=81.0) for s in (0, 100, 299)] + [at(310, temperature=20.0)]
     hot += [at(s, temperature=90.0) for s in (400, 500, 700)] + [at(550), at(560, temperature=float("nan"))]
-    got = alerts.sustained_alerts(readings(*hot), rules(spark), chunk_seconds=60).collect()
+    got = alerts.sustained_alerts(readings(*hot), rules(spark), chunk_seconds=60, busy_rows=0).collect()
     assert [(r.rule_id, r.start_time, r.lasted_seconds, r.readings) for r in got] == [
         ("RULE001", T0 + timedelta(seconds=400), 300, 3)]
     record = alerts.alert_records(alerts.sustained_alerts(readings(*hot), rules(spark))).first()
@@ -57,7 +57,7 @@ def test_transitions(spark):
     log = [("a", "PENDING"), ("a", "FAILED"), ("a", "RETRYING"), ("a", "EXECUTED"), ("a", "PENDING"), ("b", "EXECUTED")]
     e = spark.createDataFrame([(c, T0 + timedelta(days=i * 20), i, s) for i, (c, s) in enumerate(log)],
                               "command_id string, event_time timestamp_ntz, event_seq int, status string")
-    got = [(r.previous_status, r.status, r.legal) for r in robots.command_transitions(e, 86400).orderBy("event_seq").collect()]
+    got = [(r.previous_status, r.status, r.legal) for r in robots.command_transitions(e, 86400, busy_rows=0).orderBy("event_seq").collect()]
     assert got == [(None, "PENDING", True), ("PENDING", "FAILED", True), ("FAILED", "RETRYING", True),
                    ("RETRYING", "EXECUTED", True), ("EXECUTED", "PENDING", False), (None, "EXECUTED", False)]
     assert {r.command_id: r.status for r in robots.command_latest(e).collect()} == {"a": "PENDING", "b": "EXECUTED"}

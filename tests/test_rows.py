@@ -105,24 +105,24 @@ def brute_islands(rows):
     return out
 
 
-@pytest.mark.parametrize("chunk", [60, 3600, 10**9])
-def test_islands_equal_brute_force_with_a_hot_key(spark, chunk):
+@pytest.mark.parametrize("chunk,busy", [(60, 0), (3600, 0), (600, 500), (600, None), (10**9, 0)])
+def test_islands_equal_brute_force_with_a_hot_key(spark, chunk, busy):
     import random
     rnd = random.Random(chunk)
     rows = [(rnd.choice(["hot"] * 6 + ["a", "b"]), T0 + timedelta(seconds=rnd.randrange(20000)), f"{i:05d}", rnd.random() < 0.6)
             for i in range(2000)]
     df = spark.createDataFrame(rows, "k string, t timestamp_ntz, i string, inside boolean")
-    got = {tuple(r) for r in ordered.islands(df, ["k"], "t", "i", "inside", chunk).collect()}
+    got = {tuple(r) for r in ordered.islands(df, ["k"], "t", "i", "inside", chunk, busy).collect()}
     assert got == brute_islands(rows)
 
 
-@pytest.mark.parametrize("chunk", [30, 5000])
-def test_previous_equals_a_plain_window(spark, chunk):
+@pytest.mark.parametrize("chunk,busy", [(30, 0), (5000, 0), (30, 100), (30, None)])
+def test_previous_equals_a_plain_window(spark, chunk, busy):
     df = spark.range(500).select(
         F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id") % 5).alias("k"),
         (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("id") * 37 % 4000)).cast("timestamp_ntz").alias("t"),
         F.col("id").alias("i"), F.when(F.col("id") % 4 != 0, F.col("id").cast("string")).alias("v"))
-    got = ordered.with_previous(df, ["k"], ["t", "i"], "v", "p", "t", chunk)
+    got = ordered.with_previous(df, ["k"], ["t", "i"], "v", "p", "t", chunk, busy)
     want = df.withColumn("p", F.lag("v").over(Window.partitionBy("k").orderBy("t", "i")))
     assert got.exceptAll(want.select(got.columns)).count() == 0 and got.count() == 500
 
