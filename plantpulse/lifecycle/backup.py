@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -71,7 +72,7 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
     """Per table: manifest and actual row count and checksum, and whether they agree."""
     out = None
     for m in read_manifest(spark, path).collect():
-        schema = T.StructType.fromJson(__import__("json").loads(m.schema_json))
+        schema = T.StructType.fromJson(json.loads(m.schema_json))
         actual = table_checksum(spark.read.schema(schema).parquet(f"{path}/{m.table_name}"))
         row = actual.select(
             F.lit(m.table_name).alias("table_name"), F.lit(m.row_count).alias("expected_rows"), "row_count",
@@ -81,18 +82,22 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def restored(spark: SparkSession, name: str, full: str, increments=(), key: str = "data_id") -> DataFrame:
-    """Full snapshot plus increments; a row that two of them hold is taken once."""
+def restored(spark: SparkSession, name: str, full: str, increments=(), time: str = "event_time") -> DataFrame:
+    """Full snapshot plus increments, oldest first.
+
+    Each part counts only up to the moment from which the next one starts, so a row that two parts hold
+    is taken once, without comparing rows.
+    """
     df = spark.read.parquet(f"{full}/{name}")
-    if not increments:
-        return df
     for path in increments:
+        since = read_manifest(spark, path).filter(F.col("table_name") == name).first().since
+        df = df.filter(F.col(time).isNull() | (F.col(time) <= at(since)))
         df = df.unionByName(spark.read.parquet(f"{path}/{name}"))
-    return df.dropDuplicates([key])
+    return df
 
 
 def restore(spark: SparkSession, name: str, target: str, full: str, increments=(), overwrite: bool = False,
-            dry_run: bool = False, key: str = "data_id") -> DataFrame:
+            dry_run: bool = False, time: str = "event_time") -> DataFrame:
     """Verify all parts and, unless it is a dry run, write the table. Returns the check rows."""
     check = verify(spark, full)
     for path in increments:
@@ -102,7 +107,7 @@ def restore(spark: SparkSession, name: str, target: str, full: str, increments=(
     if bad:
         raise ValueError(f"{bad} part(s) of the backup of {name} do not match the manifest")
     if not dry_run:
-        restored(spark, name, full, increments, key).write.mode(
+        restored(spark, name, full, increments, time).write.mode(
             "overwrite" if overwrite else "errorifexists").parquet(target)
     return check
 

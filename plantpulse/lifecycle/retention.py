@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plantpulse.functions.timefn import at
+from plantpulse.session import remove_path
 from plantpulse.sinks.tables import checked_name
 from plantpulse.sources.tables import file_listing
 
@@ -31,15 +32,15 @@ def delete_older(spark: SparkSession, path: str, before: datetime) -> None:
     day = f"{before:%Y-%m-%d}"
     table = spark.read.option("partitionOverwriteMode", "dynamic").parquet(path)
     for (old,) in _days(table).filter(F.col("dt") < day).collect():
-        _remove(spark, f"{path}/dt={old}")
+        remove_path(spark, f"{path}/dt={old}")
     edge = table.filter(F.col("dt").cast("string") == day)
     if before > datetime(before.year, before.month, before.day) and not edge.isEmpty():
         rows = kept(edge.drop("dt"), before)
         staged = f"{path}/_staged_dt={day}"
         rows.write.mode("overwrite").parquet(staged)
-        _remove(spark, f"{path}/dt={day}")
+        remove_path(spark, f"{path}/dt={day}")
         spark.read.parquet(staged).write.mode("overwrite").parquet(f"{path}/dt={day}")
-        _remove(spark, staged)
+        remove_path(spark, staged)
 
 
 def _days(table: DataFrame) -> DataFrame:
@@ -47,11 +48,6 @@ def _days(table: DataFrame) -> DataFrame:
     return table.select(F.col("dt").cast("string").alias("dt")).distinct()
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def expired_partitions(spark: SparkSession, table: str, before: datetime) -> DataFrame:
     """Partition texts (`dt=.../hr=...`) of days wholly before the cutoff day."""
     parts = spark.sql(f"SHOW PARTITIONS {checked_name(table)}")

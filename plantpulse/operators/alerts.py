@@ -45,9 +45,9 @@ def breach_runs(readings: DataFrame, rules: DataFrame, keys: list[str], chunk_se
     key and its chunk, so the rules' rows stay where their reading is.
     """
     slim = readings.select(*keys, "event_time", "data_id", *METRICS)
-    placed = with_chunk(slim, keys, "event_time", chunk_seconds, busy_rows).repartition(CHUNK, *keys)
+    placed = with_chunk(slim, keys, "event_time", chunk_seconds, busy_rows).repartition(*keys, CHUNK)
     rows = judged(placed, parsed_rules(rules), keys)
-    return islands(rows, ["rule_id", *keys], "event_time", "data_id", "breach")
+    return islands(rows, [*keys, "rule_id"], "event_time", "data_id", "breach")
 
 
 def sustained_alerts(readings: DataFrame, rules: DataFrame, keys=("robot_id", "sensor_id"),

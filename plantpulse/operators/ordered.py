@@ -18,6 +18,8 @@ WHOLE = -(1 << 62)  # chunk number of keys that are not cut; no time slot is tha
 # A key is busy from this many rows on; the second figure bounds how many keys can be busy.
 BUSY_ROWS = 1_000_000
 MOST_BUSY_KEYS = 20_000
+# Up to this many picked row keys are broadcast.
+BROADCAST_KEYS = 1_000_000
 
 
 def with_chunk(df: DataFrame, keys: list[str], time: str, seconds: int, busy_rows: int | None = None) -> DataFrame:
@@ -45,7 +47,7 @@ def islands(df: DataFrame, keys: list[str], time: str, tie: str, inside: str, ch
     total of the earlier chunks. Rows that carry a chunk number already keep it.
     """
     cut = df if CHUNK in df.columns else with_chunk(df, keys, time, chunk_seconds, busy_rows)
-    group = [CHUNK, *keys]
+    group = [*keys, CHUNK]
     local = Window.partitionBy(*group).orderBy(time, tie).rowsBetween(Window.unboundedPreceding, 0)
     outside = F.when(F.col(inside), 0).otherwise(1)
     pieces = (
@@ -74,7 +76,7 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], value: str,
                   time: str, chunk_seconds: int = 86400, busy_rows: int | None = None) -> DataFrame:
     """`lag(value)` per key in `order` (whose first column is `time`), split by time chunks."""
     cut = with_chunk(df, keys, time, chunk_seconds, busy_rows)
-    group = [CHUNK, *keys]
+    group = [*keys, CHUNK]
     local = Window.partitionBy(*group).orderBy(*order)
     # wrapped in a struct, so that a NULL value is not mistaken for "no row before"
     own = F.lag(F.struct(F.col(value).alias("v"))).over(local)
@@ -109,14 +111,15 @@ def with_row_index(df: DataFrame, order: list[Column | str], name: str = "row_in
     return pinned.withColumn(name, offset + row), total
 
 
-def rows_at(df: DataFrame, order: list[str], chosen, descending: bool = False) -> DataFrame:
-    """Rows whose position in the order satisfies `chosen(index_column, total)`.
+def rows_at(df: DataFrame, order: list[str], chosen, most: int, descending: bool = False) -> DataFrame:
+    """Rows whose position in the order satisfies `chosen(index_column, total)`; at most `most` do.
 
-    Only the order columns are sorted and pinned; the few chosen keys then pick their full rows by a
-    semi join. The order columns must identify a row and hold no NULL.
+    Only the order columns are sorted and pinned; the chosen keys then pick their full rows by a semi
+    join. As their number is known, they are broadcast and the table itself is not shuffled; very many
+    are left to the planner. The order columns must identify a row and hold no NULL.
     """
     keys = df.select(*order)
     by = [F.col(c).desc() for c in order] if descending else list(order)
     numbered, total = with_row_index(keys, by)
     picked = numbered.filter(chosen(F.col("row_index"), total)).select(*order)
-    return df.join(picked, order, "left_semi")
+    return df.join(F.broadcast(picked) if most <= BROADCAST_KEYS else picked, order, "left_semi")

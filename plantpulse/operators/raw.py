@@ -23,7 +23,7 @@ def first_rows(df: DataFrame, order: list[str], n: int, descending: bool = False
     """The first n rows of an order whose columns identify a row."""
     if n <= HEAP_ROWS:
         return df.orderBy(*_directed(order, descending)).limit(n)
-    return rows_at(df, order, lambda i, _: i < n, descending)
+    return rows_at(df, order, lambda i, _: i < n, n, descending)
 
 
 def _directed(order, descending):
@@ -56,7 +56,7 @@ def page_by_position(df: DataFrame, order: list[str], number: int, size: int, fi
                      descending: bool = False) -> DataFrame:
     """The same page, found by numbering the order columns; its cost does not grow with the offset."""
     skip = (number - first_page) * size
-    rows = rows_at(df, order, lambda i, _: i.between(skip, skip + size - 1), descending)
+    rows = rows_at(df, order, lambda i, _: i.between(skip, skip + size - 1), size, descending)
     return _with_totals(rows, df, size)
 
 
@@ -129,7 +129,7 @@ def sample_systematic(df: DataFrame, order: list[str], n: int) -> DataFrame:
         step = total // n
         return (i % step == 0) & (i < step * n)
 
-    return rows_at(df, order, chosen)
+    return rows_at(df, order, chosen, n)
 
 
 def sample_head(df: DataFrame, order: list[str], n: int) -> DataFrame:

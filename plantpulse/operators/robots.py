@@ -209,22 +209,22 @@ def derived_tags(readings: DataFrame) -> DataFrame:
 def subscription_matches(readings: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """(subscription_id, data_id) for every reading a subscription covers.
 
-    A missing or empty list means all. Lists are unfolded and the wildcard is a value of its own, so
-    this is an equality join: only wildcard patterns some subscription may use are added to a reading.
+    A missing or empty list means all. Subscriptions that name robots join on the robot; the others
+    join on the sensor type, where "all types" is a value of its own. Both are equality joins, so Spark
+    may broadcast a small side and split a busy robot or type.
     """
-    any_value = F.lit("*")
-
-    def listed(c):
-        return F.when(F.coalesce(F.size(c), F.lit(0)) > 0, F.array_distinct(c)).otherwise(F.array(any_value))
-
-    wanted = (
-        subscriptions
-        .select("subscription_id", F.explode(listed(F.col("robot_ids"))).alias("robot_key"), "sensor_types")
-        .select("subscription_id", "robot_key", F.explode(listed(F.col("sensor_types"))).alias("type_key")))
-    patterns = F.array(
-        F.struct(F.col("robot_id").alias("robot_key"), F.col("sensor_type").alias("type_key")),
-        F.struct(F.col("robot_id").alias("robot_key"), any_value.alias("type_key")),
-        F.struct(any_value.alias("robot_key"), F.col("sensor_type").alias("type_key")),
-        F.struct(any_value.alias("robot_key"), any_value.alias("type_key")))
-    offered = readings.select("data_id", F.inline(patterns))
-    return offered.join(wanted, ["robot_key", "type_key"]).select("subscription_id", "data_id")
+    def given(c):
+        return F.coalesce(F.size(c) > 0, F.lit(False))
+
+    rows = readings.select("data_id", "robot_id", "sensor_type")
+    by_robot = subscriptions.filter(given("robot_ids")).select(
+        "subscription_id", F.explode(F.array_distinct("robot_ids")).alias("robot_id"), "sensor_types")
+    covered = ~given("sensor_types") | F.array_contains("sensor_types", F.col("sensor_type"))
+    named = rows.join(by_robot, "robot_id").filter(covered)
+
+    any_type = F.array(F.lit("*"))
+    by_type = subscriptions.filter(~given("robot_ids")).select("subscription_id", F.explode(
+        F.when(given("sensor_types"), F.array_distinct("sensor_types")).otherwise(any_type)).alias("type_key"))
+    offered = rows.select("data_id", F.explode(F.array(F.col("sensor_type"), F.lit("*"))).alias("type_key"))
+    wide = offered.join(by_type, "type_key")
+    return named.select("subscription_id", "data_id").unionByName(wide.select("subscription_id", "data_id"))

@@ -8,7 +8,7 @@ from plantpulse.functions.timefn import seconds_between
 from plantpulse.operators.alerts import judged, parsed_rules
 from plantpulse.operators.ordered import islands
 from plantpulse.operators.robots import alert_messages, robot_alerts
-from plantpulse.session import small
+from plantpulse.session import remove_path, small
 from plantpulse.streaming.ingest import batch_folder
 
 
@@ -60,6 +60,8 @@ def sustained_writer(rules: DataFrame, path: str, keys=("robot_id", "sensor_id")
                 F.max("open_since").alias("open_since"), F.max("last_time").alias("last_time"),
                 F.max_by("alerted", "open_since").alias("alerted"),
             ).write.mode("overwrite").parquet(batch_folder(f"{path}/open", batch_id))
+            # a replay goes back one batch at most
+            remove_path(spark, batch_folder(f"{path}/open", batch_id - 2))
         finally:
             rows.unpersist()
 

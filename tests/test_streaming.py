@@ -123,6 +123,19 @@ def test_status_stream(spark, readings, folder):
     assert got == {"R001": "ABNORMAL", "R002": "OFFLINE"}
 
 
+def test_status_snapshots(spark, folder):
+    write = status.status_writer(folder, every=2)
+    for i in range(6):
+        write(spark.createDataFrame([(f"R{i % 2}", f"S{i}", T0 + timedelta(seconds=i))],
+                                    "robot_id string, reported_status string, last_update_time timestamp_ntz"), i)
+        if i == 4:
+            write(spark.createDataFrame([("R0", "S4", T0 + timedelta(seconds=4))],
+                                        "robot_id string, reported_status string, last_update_time timestamp_ntz"), 4)
+    got = {x.robot_id: x.status for x in status.current_status(spark, folder, T0, 30).collect()}
+    assert got == {"R0": "S4", "R1": "S5"}
+    assert {x.robot_id for x in spark.read.parquet(folder + "/snapshots/batch_id=4").collect()} == {"R0", "R1"}
+
+
 def test_robot_alert_stream(spark, folder):
     st = spark.createDataFrame([("R1", "one", "ONLINE", "IDLE", 90.0, 50.0, {"a": 1.0}), ("R2", "two", "ONLINE", "IDLE", 20.0, 50.0, {"a": 1.0})],
                                "robot_id string, robot_name string, status string, task_status string, temperature double, battery_level double, sensor_data map<string,double>")
