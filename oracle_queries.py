@@ -46,7 +46,7 @@ STATUS = f"""robot_status AS (
   SELECT {_code('R', 'c_custkey', 6)} AS robot_id, c_name AS robot_name, c_mktsegment AS robot_type,
     CASE WHEN c_acctbal >= 1000 THEN 'ONLINE' ELSE 'OFFLINE' END AS status,
     CASE c_nationkey % 4 WHEN 0 THEN 'IDLE' WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'STOPPED' ELSE 'PAUSED' END AS task_status,
-    c_nationkey * CAST(4 AS DOUBLE) AS battery_level, round(c_acctbal / 80, 2) AS temperature,
+    c_nationkey * CAST(4 AS DOUBLE) AS battery_level, round(c_acctbal / 80 + 1e-9, 2) AS temperature,
     c_nationkey <> 24 AS has_map, c_acctbal / 75 AS motor_temperature, c_acctbal / 8 AS line_pressure
   FROM customer)"""
 

@@ -22,8 +22,17 @@ _STEP = {"minute": timedelta(minutes=1), "hour": timedelta(hours=1), "day": time
 
 
 def truncated(time, unit: str) -> Column:
-    """`date_trunc` that stays zone-free. A bigint-backed key groups faster than a text label."""
-    return F.date_trunc(unit, as_col(time)).cast("timestamp_ntz")
+    """Start of the second, minute, hour, day, week or month. Works on the wall clock alone, whatever
+    the session zone, and yields a long-backed key that groups faster than a text label."""
+    t = as_col(time)
+    day = F.to_date(t)
+    if unit in ("week", "month"):
+        return F.trunc(day, unit).cast("timestamp_ntz")
+    whole = {
+        "day": F.lit(0), "hour": F.hour(t) * 3600, "minute": F.hour(t) * 3600 + F.minute(t) * 60,
+        "second": F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t),
+    }[unit]
+    return day.cast("timestamp_ntz") + F.expr("INTERVAL '1' SECOND") * whole
 
 
 def iso_week(time) -> Column:
@@ -79,8 +88,8 @@ def parse_strict(text) -> Column:
 
 
 def seconds_between(start, end) -> Column:
-    """Whole seconds from start to end."""
-    return F.timestamp_diff("SECOND", as_col(start), as_col(end))
+    """Whole seconds from start to end, by the wall clock."""
+    return (as_col(end) - as_col(start)).cast("interval second").cast("bigint")
 
 
 def time_attributes(moments: DataFrame, time: str = "moment") -> DataFrame:
@@ -107,7 +116,10 @@ def minutes_from(spark: SparkSession, start: datetime, count: int, last: datetim
 
 
 def epoch_seconds(time) -> Column:
-    return F.unix_seconds(as_col(time).cast("timestamp"))
+    """Seconds since 1970 by the wall clock."""
+    t = as_col(time)
+    return (F.unix_date(F.to_date(t)).cast("bigint") * 86400
+            + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t))
 
 
 def at(moment: datetime) -> Column:

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, functions as F
 
 from plantpulse.functions.columns import share
-from plantpulse.functions.timefn import at, epoch_seconds, truncated
+from plantpulse.functions.timefn import at, truncated
 from plantpulse.schemas import METRICS
 
 
@@ -70,8 +70,7 @@ def message_rates(log: DataFrame) -> DataFrame:
 
 
 def rows_per_second(readings: DataFrame) -> DataFrame:
-    return (readings.groupBy(epoch_seconds("event_time").alias("s")).agg(F.count("*").alias("n"))
-            .select(F.timestamp_seconds("s").cast("timestamp_ntz").alias("second"), "n"))
+    return readings.groupBy(truncated("event_time", "second").alias("second")).agg(F.count("*").alias("n"))
 
 
 def type_share(readings: DataFrame) -> DataFrame:

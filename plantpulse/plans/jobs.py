@@ -7,7 +7,7 @@ from datetime import date, datetime, time, timedelta
 from pyspark.sql import DataFrame, functions as F
 
 from plantpulse.functions.metrics import full_columns
-from plantpulse.functions.timefn import iso_week, at
+from plantpulse.functions.timefn import at, iso_week, truncated
 from plantpulse.plans.rollup import build_hourly
 from plantpulse.sinks.tables import overwrite_partitions
 
@@ -46,7 +46,7 @@ def weekly_report(readings: DataFrame, end: date) -> DataFrame:
 
 def weekly_reports(readings: DataFrame) -> DataFrame:
     """The weekly figures for every ISO week of the table."""
-    per_robot = readings.groupBy(F.date_trunc("week", "event_time").cast("timestamp_ntz").alias("monday"),
+    per_robot = readings.groupBy(truncated("event_time", "week").alias("monday"),
                                  "robot_id").agg(F.count("*").alias("n"))
     weeks = per_robot.groupBy("monday").agg(
         F.count("*").alias("total_records"), F.sum("n").alias("data_count"))

@@ -83,7 +83,7 @@ def robot_status(spark: SparkSession, folder: str) -> DataFrame:
         f"{code('R', 'c_custkey', 6)} AS robot_id", "c_name AS robot_name", "c_mktsegment AS robot_type",
         "CASE WHEN c_acctbal >= 1000 THEN 'ONLINE' ELSE 'OFFLINE' END AS status",
         "CASE c_nationkey % 4 WHEN 0 THEN 'IDLE' WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'STOPPED' ELSE 'PAUSED' END AS task_status",
-        "c_nationkey * 4D AS battery_level", "round(c_acctbal / 80, 2) AS temperature",
+        "c_nationkey * 4D AS battery_level", "round(c_acctbal / 80 + 1e-9D, 2) AS temperature",
         "CASE WHEN c_nationkey <> 24 THEN map('motor_temperature', c_acctbal / 75, 'line_pressure', c_acctbal / 8) END "
         "AS sensor_data")
 

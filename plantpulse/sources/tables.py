@@ -32,11 +32,13 @@ def read_jdbc(spark: SparkSession, url: str, table: str, *, key: str | None = No
 
 
 def in_time_range(df: DataFrame, start: datetime, end: datetime, time: str = "event_time") -> DataFrame:
-    """Rows with start <= time <= end. On a table partitioned by `dt` (and `hr`) only the days in
-    range are listed: a predicate on the time column alone would not prune partitions."""
+    """Rows with start <= time <= end. On a table partitioned by `dt` (and `hr`) only the days (and,
+    within one day, hours) in range are read: a predicate on the time alone would not prune partitions."""
     kept = df.filter(F.col(time).between(at(start), at(end)))
     if "dt" in df.columns:
         kept = kept.filter(F.col("dt").cast("string").between(f"{start:%Y-%m-%d}", f"{end:%Y-%m-%d}"))
+        if "hr" in df.columns and start.date() == end.date():
+            kept = kept.filter(F.col("hr").cast("int").between(start.hour, end.hour))
     return kept
 
 

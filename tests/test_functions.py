@@ -135,3 +135,20 @@ def test_message_round_trip(spark, readings):
 def test_bad_messages(spark):
     df = spark.createDataFrame([("{bad",), ("",), ('{"data_id":"a"}',), ("7",)], "value string")
     assert [x.parse_error for x in messages.parse_messages(df).collect()] == ["not JSON", "not JSON", None, "not JSON"]
+
+
+def test_wall_clock_does_not_depend_on_the_zone(spark):
+    """02:30 does not exist in New York on that day; it must keep its own hour and order here."""
+    times = [datetime(2024, 3, 10, 1, 59, 59, 999999), datetime(2024, 3, 10, 2, 30, 15), datetime(2024, 3, 10, 3, 0)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.range(3).select(F.element_at(F.array(*[timefn.at(t) for t in times]), (F.col("id") + 1).cast("int")).alias("t"))
+        assert [r[0].hour for r in df.select(timefn.truncated("t", "hour")).collect()] == [1, 2, 3]
+        assert [str(r[0])[11:] for r in df.select(timefn.truncated("t", "second")).collect()] == ["01:59:59", "02:30:15", "03:00:00"]
+        assert [str(r[0]) for r in df.select(timefn.truncated("t", "week")).distinct().collect()] == ["2024-03-04 00:00:00"]
+        seconds = [r[0] for r in df.select(timefn.epoch_seconds("t")).collect()]
+        assert [b - a for a, b in zip(seconds, seconds[1:])] == [1816, 1785]
+        assert [r[0] for r in df.select(timefn.seconds_between(timefn.at(times[0]), "t")).collect()] == [0, 1815, 3600]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
