@@ -89,15 +89,18 @@ def _measures(metrics=("temperature", "humidity", "pressure"), full: bool = Fals
     return ", ".join(out)
 
 
+BOUND = "event_time BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-01-31 00:00:00'"
+
+
 def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
-ROUTED = """routed AS (
+ROUTED = f"""routed AS (
   SELECT robot_id, avg(temperature) AS avg_temperature, max(temperature) AS max_temperature, min(temperature) AS min_temperature,
     avg(humidity) AS avg_humidity, max(humidity) AS max_humidity, min(humidity) AS min_humidity,
     avg(pressure) AS avg_pressure, count(*) AS data_count
-  FROM readings GROUP BY robot_id)"""
+  FROM readings WHERE {BOUND} GROUP BY robot_id)"""
 
 DAILY = """routed AS (
   SELECT robot_id, avg(temperature) AS avg_temperature FROM readings GROUP BY CAST(event_time AS DATE), robot_id)"""
@@ -118,14 +121,15 @@ SELECT robot_id, {_measures(metrics)}, count(*) AS data_count FROM readings WHER
 def _bucket(label: str) -> str:
     return _with(READINGS) + f"""
 SELECT {label} AS time_bucket, robot_id, count(*) AS data_count, {_measures(full=True)}
-FROM readings GROUP BY 1, 2"""
+FROM readings WHERE {BOUND} GROUP BY 1, 2"""
 
 
-def _trend(label: str) -> str:
+def _trend(label: str, unit: str) -> str:
     inner = ", ".join(f"coalesce(avg({m}), 0) AS {m}" for m in _STATS)
     outer = ", ".join(_r(f"avg({m})", m) for m in _STATS)
     return _with(READINGS, f"""cells AS (
-  SELECT {label} AS time_label, robot_id, {inner}, count(*) AS n FROM readings GROUP BY 1, 2)""") + f"""
+  SELECT {label} AS time_label, robot_id, {inner}, count(*) AS n FROM readings
+  WHERE event_time BETWEEN TIMESTAMP '2024-01-01' - INTERVAL 10 {unit} AND TIMESTAMP '2024-01-31' + INTERVAL 1 {unit} GROUP BY 1, 2)""") + f"""
 SELECT time_label, {outer}, CAST(sum(n) AS BIGINT) AS data_count FROM cells GROUP BY time_label"""
 
 
@@ -238,12 +242,12 @@ def _generic(metric: str, interval: str, label: str) -> str:
 
 
 ORACLE: dict[str, str] = {
-    "route_realtime": _realtime("TRUE"),
+    "route_realtime": _realtime(BOUND),
     "route_realtime_window": _realtime("s.event_time BETWEEN '2024-01-10 12:00:00' AND '2024-01-10 12:05:00'"),
-    "route_incremental": _incremental("TRUE"),
+    "route_incremental": _incremental(BOUND),
     "route_incremental_day": _incremental("event_time BETWEEN '2024-01-15 00:00:00' AND '2024-01-16 00:00:00'"),
-    "route_historical_rollup": _incremental("TRUE", ("temperature", "humidity")),
-    "route_historical_fallback": _incremental("TRUE", ("temperature", "pressure")),
+    "route_historical_rollup": _incremental("CAST(event_time AS DATE) BETWEEN '2024-01-01' AND '2024-01-31'", ("temperature", "humidity")),
+    "route_historical_fallback": _incremental(BOUND, ("temperature", "pressure")),
     "hourly_rollup": _with(READINGS) + "SELECT strftime(event_time, '%Y-%m-%d') AS dt, strftime(event_time, '%H') AS hr, robot_id, sensor_type, "
     + ", ".join(f"{_r(f'sum({m})', f'sum_{m}')}, count({m}) AS cnt_{m}, {_r(f'avg({m})', f'avg_{m}')}, "
                 f"{_r(f'max({m})', f'max_{m}')}, {_r(f'min({m})', f'min_{m}')}" for m in _STATS)
@@ -253,18 +257,18 @@ FROM readings GROUP BY 1, 2, 3, 4""",
     "bucket_hourly": _bucket("strftime(event_time, '%Y-%m-%d %H:00:00')"),
     "bucket_daily": _bucket("strftime(event_time, '%Y-%m-%d')"),
     "bucket_weekly": _bucket("strftime(event_time, '%G-%V')"),
-    "trend_minute": _trend("strftime(event_time, '%Y-%m-%d %H:%M')"),
-    "trend_hour": _trend("strftime(event_time, '%Y-%m-%d %H:00')"),
-    "trend_day": _trend("strftime(event_time, '%Y-%m-%d')"),
+    "trend_minute": _trend("strftime(event_time, '%Y-%m-%d %H:%M')", "MINUTE"),
+    "trend_hour": _trend("strftime(event_time, '%Y-%m-%d %H:00')", "HOUR"),
+    "trend_day": _trend("strftime(event_time, '%Y-%m-%d')", "DAY"),
     "generic_aggregate": _with(READINGS) + "\nUNION ALL\n".join([
         _generic("temperature", "hour", "strftime(event_time, '%Y-%m-%d %H:00')"),
         _generic("humidity", "day", "strftime(event_time, '%Y-%m-%d')"),
         _generic("temperature", "week", "strftime(event_time, '%G-%V')"),
         _generic("pressure", "month", "strftime(event_time, '%Y-%m')")]),
     "statistics": _with(READINGS, ROUTED) + f"SELECT count(*) AS total_records, {_STATISTICS} FROM routed",
-    "overview": _with(READINGS, ROUTED, f"figures AS (SELECT count(*) AS robots, sum(data_count) AS records, {_STATISTICS} FROM routed)", """cells AS (
+    "overview": _with(READINGS, ROUTED, f"figures AS (SELECT count(*) AS robots, sum(data_count) AS records, {_STATISTICS} FROM routed)", f"""cells AS (
   SELECT strftime(event_time, '%Y-%m-%d %H:00') AS label, robot_id, coalesce(avg(temperature), 0) AS temperature,
-    coalesce(avg(humidity), 0) AS humidity, coalesce(avg(pressure), 0) AS pressure, count(*) AS n FROM readings GROUP BY 1, 2)""", """
+    coalesce(avg(humidity), 0) AS humidity, coalesce(avg(pressure), 0) AS pressure, count(*) AS n FROM readings WHERE {BOUND} GROUP BY 1, 2)""", """
 hours AS (SELECT label, avg(temperature) AS temperature, avg(humidity) AS humidity, avg(pressure) AS pressure, sum(n) AS n
   FROM cells GROUP BY label)""") + "\nUNION ALL\n".join(
         [f"SELECT 'summary' AS section, 'all' AS label, '{n}' AS name, {_r(f'CAST({n} AS DOUBLE)', 'value')} FROM figures"
@@ -292,7 +296,7 @@ SELECT strftime(monday, '%G-%V') AS week, count(*) AS total_records, CAST(sum(n)
   strftime(monday, '%Y-%m-%d') || ' - ' || strftime(monday + INTERVAL 6 DAY, '%Y-%m-%d') AS period
 FROM (SELECT CAST(date_trunc('week', event_time) AS TIMESTAMP) AS monday, robot_id, count(*) AS n FROM readings GROUP BY 1, 2)
 GROUP BY monday""",
-    "export_csv_rows": _realtime("TRUE"),
+    "export_csv_rows": _realtime(BOUND),
     "export_json_header": _with(READINGS, ROUTED) + "SELECT '2024-01-31 00:00:00' AS export_time, count(*) AS total_records FROM routed",
     "desensitize": _with(READINGS) + f"""SELECT data_id, '***' AS robot_id, CAST(floor(temperature + 0.5) AS BIGINT) AS temperature,
   {_r('pressure', 'pressure')}, status FROM readings""",
@@ -308,7 +312,7 @@ GROUP BY monday""",
   'held for ' || CAST(lasted_seconds AS VARCHAR) || ' s' AS content, severity, 'ACTIVE' AS status, end_time AS create_time FROM alerts""",
     "realtime_topn": _with(READINGS) + """SELECT data_id, event_time, robot_id, sensor_type FROM readings
 ORDER BY event_time DESC, data_id DESC LIMIT 50""",
-    "range_query": _with(READINGS) + f"SELECT data_id, event_time, robot_id, {_r('temperature', 'temperature')}, {_r('position_z', 'position_z')} FROM readings",
+    "range_query": _with(READINGS) + f"SELECT data_id, event_time, robot_id, {_r('temperature', 'temperature')}, {_r('position_z', 'position_z')} FROM readings WHERE {BOUND}",
     "page_query": _with(READINGS) + """SELECT data_id, event_time, robot_id, count(*) OVER () AS total,
   CAST(ceil(count(*) OVER () / 20) AS BIGINT) AS pages FROM readings ORDER BY event_time, data_id LIMIT 20 OFFSET 40""",
     "page_deep": _with(READINGS) + """SELECT data_id, event_time, robot_id, count(*) OVER () AS total,
