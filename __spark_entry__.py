@@ -5,13 +5,13 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from plantpulse.functions import health, mask, metrics as metric_fn, text, timefn, validate  # noqa: E402
+from plantpulse.functions import mask, metrics as metric_fn, text, timefn, validate  # noqa: E402
 from plantpulse.lifecycle import backup, compression, retention  # noqa: E402
 from plantpulse.operators import alerts, analytics, anomaly, buckets, monitoring, raw, robots  # noqa: E402
 from plantpulse.plans import jobs, rollup, router  # noqa: E402
@@ -24,7 +24,6 @@ from oracle_queries import ORACLE  # noqa: E402
 # The whole test month; the readings run from 2024-01-01 to 2024-01-30.
 LOW, HIGH = datetime(2024, 1, 1), datetime(2024, 1, 31)
 NOW = HIGH
-COMMANDS_NOW = datetime(2001, 8, 2)
 RULES = [
     ("RULE003", "dry air", "HUMIDITY", "", '{"metric": "humidity", "operator": "<", "threshold": 20, "duration": 600}', "{}", "LOW", 1),
     ("RULE004", "pressure", "PRESSURE", "", '{"metric": "pressure", "operator": ">=", "threshold": 1000, "duration": 3600}', "{}", "MEDIUM", 1),
