@@ -21,6 +21,15 @@ from plantpulse.sources import messages, star, streams  # noqa: E402
 from plantpulse.streaming import alerts as stream_alerts, ingest, status as stream_status  # noqa: E402
 from oracle_queries import ORACLE  # noqa: E402
 
+# The training-data operators may be absent as a whole; any other import error is a fault.
+try:
+    from plantpulse.llm.entry import ORACLES as LLM_ORACLES, QUERIES as LLM_QUERIES  # noqa: E402
+    from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL, run as run_pipeline  # noqa: E402
+except ModuleNotFoundError as error:
+    if error.name not in ("plantpulse.llm", "plantpulse.llm.entry", "corpus_pipeline"):
+        raise
+    LLM_ORACLES, LLM_QUERIES, PIPELINE_SQL, run_pipeline = {}, {}, None, None
+
 # The whole test month; the readings run from 2024-01-01 to 2024-01-30.
 LOW, HIGH = datetime(2024, 1, 1), datetime(2024, 1, 31)
 NOW = HIGH
@@ -268,6 +277,10 @@ def q_report_detailed(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {**_telemetry_queries(), **LLM_QUERIES, **({"pipeline": run_pipeline} if run_pipeline else {})}
+
+
+def _telemetry_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     r, st, cmd = star.readings, star.robot_status, star.commands
     return {
         # routed aggregates
@@ -400,7 +413,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return {**ORACLE, **LLM_ORACLES, **({"pipeline": PIPELINE_SQL} if PIPELINE_SQL else {})}
 
 
 def entry(spark: SparkSession) -> DataFrame:
