@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from plantpulse.llm import lines, quality, urls
+from plantpulse.llm import jaccard, leaks, lines, quality, urls
 
 QUERIES = {
     "op2_url_filter": urls.query,
     "op3_quality_rules": quality.query,
+    "op6_jaccard_join": jaccard.query,
+    "op7_decontamination": leaks.query,
     "op8_line_dedup": lines.query,
 }
 ORACLES = {
     "op2_url_filter": urls.ORACLE,
     "op3_quality_rules": quality.ORACLE,
+    "op7_decontamination": leaks.ORACLE,
     "op8_line_dedup": lines.ORACLE,
 }

@@ -145,24 +145,38 @@ def windows(hashes: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarra
     return mix(out), at
 
 
-def shingles(hashes: np.ndarray, rows: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, shingle) pairs, sorted by row and hash; a shorter text is one shingle of all its words."""
+def shingles(hashes: np.ndarray, rows: np.ndarray, total: int, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of `total` texts: the hashes, sorted within each row, and where each row begins.
+
+    A text of fewer than `width` words, but not none, is one shingle of all its words.
+    """
     h, at = windows(hashes, rows, width)
     r = rows[at]
-    if len(rows):
-        count = np.bincount(rows)
-        short = np.flatnonzero((count > 0) & (count < width))
-        if len(short):
-            first = np.searchsorted(rows, short)
-            lone = np.zeros(len(short), np.uint64)
-            for k in range(width - 1):
-                more = count[short] > k
-                at_k = first[more] + k
-                lone[more] = lone[more] * np.uint64(_BASE) + hashes[at_k]
-            h = np.concatenate([h, mix(lone ^ np.uint64(1))])
-            r = np.concatenate([r, short])
-    order = np.lexsort((h, r))
-    h, r = h[order], r[order]
+    count = np.bincount(rows, minlength=total)
+    short = np.flatnonzero((count > 0) & (count < width))
+    if len(short):
+        first = np.searchsorted(rows, short)
+        lone = np.zeros(len(short), np.uint64)
+        for k in range(width - 1):
+            more = count[short] > k
+            lone[more] = lone[more] * np.uint64(_BASE) + hashes[first[more] + k]
+        place = np.searchsorted(r, short)
+        h, r = np.insert(h, place, mix(lone ^ np.uint64(1))), np.insert(r, place, short)
+    bounds = np.searchsorted(r, np.arange(total + 1))
+    for i in np.flatnonzero(np.diff(bounds) > 1):
+        h[bounds[i]:bounds[i + 1]].sort()
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-    return r[keep], h[keep]
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    return h[keep], kept[bounds]
+
+
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = PIECE_BYTES // 2):
+    """(first row, texts' bytes, their offsets) of runs of rows with about `most_bytes` of text, or one longer text."""
+    data, offsets = text_bytes(batch.column(column))
+    first, total = 0, len(offsets) - 1
+    while first < total:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most_bytes, "right")) - 1)
+        low = offsets[first]
+        yield first, data[low:offsets[last]], offsets[first:last + 1] - low
+        first = last
