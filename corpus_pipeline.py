@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plantpulse.llm import jaccard, leaks, lines, quality
+from plantpulse.llm import bestfit, jaccard, leaks, lines, quality
 from plantpulse.llm.common import saved
 
 STAGES = [
@@ -16,6 +16,7 @@ STAGES = [
     ("line dedup", lines.stage),
     ("n-gram Jaccard join", jaccard.stage),
     ("benchmark decontamination", leaks.stage),
+    ("best-fit packing", bestfit.stage),
 ]
 
 # Packing and the metric join have no SQL form; the stages are tested against brute-force versions.

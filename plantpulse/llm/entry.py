@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from plantpulse.llm import jaccard, leaks, lines, quality, urls
+from plantpulse.llm import bestfit, jaccard, leaks, lines, quality, urls
 
 QUERIES = {
     "op2_url_filter": urls.query,
     "op3_quality_rules": quality.query,
+    "op5_bestfit_packing": bestfit.query,
     "op6_jaccard_join": jaccard.query,
     "op7_decontamination": leaks.query,
     "op8_line_dedup": lines.query,
