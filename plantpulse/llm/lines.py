@@ -62,11 +62,12 @@ def remove_lines(df: DataFrame, lines: DataFrame, text: str = "text", most_remov
     by two hashes, so null and repeated ids need no care, and a text that is copied often is one entry.
     """
     keyed = df.withColumns({"__a": F.xxhash64(text), "__b": F.hash(F.lit(7), F.col(text))})
-    found = (
+    # written, so that the join below has a plain side that Spark may broadcast, and a copied text's rows be split
+    found = saved(
         keyed.select("__a", "__b", F.explode(F.array_distinct(F.transform(
             F.split(F.col(text), "\n"), lambda x: _line_hash(x)))).alias("line"))
         .join(lines, "line", "left_semi")
-        .groupBy("__a", "__b").agg(F.collect_set("line").alias("__hits")))
+        .groupBy("__a", "__b").agg(F.collect_set("line").alias("__hits")), "line-hits")
     out = keyed.join(found, ["__a", "__b"], "left").withColumn("__lines", F.split(F.col(text), "\n"))
     hit = F.coalesce(F.col("__hits"), F.array().cast("array<bigint>"))
 
