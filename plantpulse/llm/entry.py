@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plantpulse.llm import bestfit, jaccard, leaks, lines, quality, urls
+from plantpulse.llm import bestfit, jaccard, leaks, lines, quality, tokenrows, urls
 
 QUERIES = {
     "op2_url_filter": urls.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_jaccard_join": jaccard.query,
     "op7_decontamination": leaks.query,
     "op8_line_dedup": lines.query,
+    "op10_token_rows": tokenrows.query,
 }
 ORACLES = {
     "op2_url_filter": urls.ORACLE,
