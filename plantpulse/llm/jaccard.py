@@ -4,9 +4,11 @@ Two sets are linked when their distance d = 1 - |intersection| / |union| is at m
 
 1. Equal sets become one node (64-bit fingerprint of the set).
 2. Pivots. Shingles are put in one order for the whole corpus, rare ones first (popularity counted over all texts in
-   a sketch of fixed size). Linked sets share a shingle among the first n - ceil((1 - radius) n) + 1 of each. The
-   least node that leads with a shingle is a pivot, and all nodes that lead with it belong to its region. So every
-   linked pair lies in a region, and a group of thousands is one star, not all its pairs.
+   a sketch of fixed size). Linked sets share at least k shingles among the first n - ceil((1 - radius) n) + k of
+   each, here k = n / 16. A node of which fewer leading shingles occur elsewhere has no links. The least node that
+   leads with a shingle is a pivot, and all nodes that lead with it belong to its region. So every linked pair lies
+   in k regions, and a group of thousands is one star, not all its pairs. A node leaves the regions that together
+   stand for less than half of the k shingles: one region of the pair remains whatever the other node leaves.
 3. Regions. With the exact distance of every member to the pivot, members within the radius are linked and need no
    comparison among themselves. The triangle inequality leaves only pairs whose distances to the pivot differ by at
    most the radius: rings around the pivot, with the members of the next ring replicated into the boundary window,
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from plantpulse.llm import words
@@ -41,8 +43,10 @@ RADIUS = 0.25
 # Counters of the popularity sketch: 8 MB in a task, 2 MB as levels when broadcast, whatever the corpus.
 SKETCH_BITS = 20
 _BLOCKS = 64
-# Bits of the filter of wanted nodes: 1 MB when broadcast. A full filter only saves nothing.
-FILTER_BITS = 23
+# Bits of the filters of wanted nodes and shingles: 2 MB when broadcast. A full filter only saves nothing.
+FILTER_BITS = 24
+# Leading shingles beyond the first difference, as a part of the set.
+SPARE = 16
 # A region with more members or shingles than this is cut by Spark before a task joins it.
 REGION_ROWS, REGION_SHINGLES = 4096, 4 << 20
 # Pivots a large region is cut by in one round.
@@ -93,16 +97,31 @@ def _nodes(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return words.mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).astype(np.int64)
 
 
+def _least_overlap(n, radius: float):
+    """What a set of n shares at least with a linked one, and so the least size of that one."""
+    return np.ceil((1 - radius) * n - 1e-9).astype(np.int64)
+
+
+def _spare(n):
+    return -(-n // SPARE)
+
+
 def _prefix_length(n: np.ndarray, radius: float) -> np.ndarray:
-    """Leading shingles that a linked set must share one of; rounding errs to the longer side."""
-    return n - np.ceil((1 - radius) * n - 1e-9).astype(np.int64) + 1
+    return np.minimum(n, n - _least_overlap(n, radius) + _spare(n))
+
+
+def _least_shared(n: np.ndarray, radius: float) -> np.ndarray:
+    """Leading shingles that a set of n shares at least with any linked one, however small that is."""
+    return _spare(_least_overlap(n, radius))
 
 
 def leading(docs: DataFrame, doc_id: str, text: str, levels: np.ndarray, width: int, radius: float) -> DataFrame:
-    """doc_id, n_shingles, node and the leading shingles of every row; node is null for an empty set."""
+    """doc_id, n_shingles, node, how many leading shingles a linked set shares at least, and the leading shingles of
+    every row; node is null for an empty set."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     schema = StructType([StructField("doc_id", docs.schema[doc_id].dataType), StructField("n_shingles", LongType()),
-                         StructField("node", LongType()), StructField("lead", ArrayType(LongType()))])
+                         StructField("node", LongType()), StructField("least", LongType()),
+                         StructField("lead", ArrayType(LongType()))])
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
@@ -122,8 +141,9 @@ def leading(docs: DataFrame, doc_id: str, text: str, levels: np.ndarray, width:
                 nodes = pa.array(_nodes(h, bounds), mask=n == 0)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, len(n)), pa.array(n.astype(np.int64)), nodes,
+                     pa.array(_least_shared(n, radius)),
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out.astype(np.int64)))],
-                    ["doc_id", "n_shingles", "node", "lead"])
+                    ["doc_id", "n_shingles", "node", "least", "lead"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lead, schema)
 
@@ -147,24 +167,56 @@ def _passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[bucket * 4096 + place // 8] >> (place % 8).astype(np.uint8)) & 1 == 1
 
 
-def stars(lead: DataFrame) -> DataFrame:
-    """(node, pivot): each node with the pivots of the regions it belongs to, pivots themselves left out."""
-    rows = lead.filter("n_shingles > 0").select("node", F.explode("lead").alias("shingle"))
-    groups = saved(rows.groupBy("shingle").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
-                   .filter("pivot <> last").select("shingle", "pivot"), "leading-shingles")
+def _shared_shingles(rows: DataFrame) -> DataFrame:
+    """Shingles that lead more than one node, with the least such node."""
+    return saved(rows.groupBy("shingle").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
+                 .filter("pivot <> last").select("shingle", "pivot"), "shared-shingles")
+
+
+def _thinned(lead: DataFrame, groups: DataFrame) -> DataFrame:
+    """(node, least, shingle) of leading shingles that may be among the groups; spares the join most rows."""
     shared = lead.sparkSession.sparkContext.broadcast(_filter_bits(groups, "shingle"))
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
             lists = batch.column("lead")
-            keys = lists.flatten().to_numpy(zero_copy_only=False)
-            nodes = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
+            keys, n = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
             ok = _passes(bits, keys)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[ok]), pa.array(keys[ok])], ["node", "shingle"])
+            columns = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n)[ok] for c in ("node", "least")]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(keys[ok])], ["node", "least", "shingle"])
 
-    few = lead.filter("n_shingles > 0").select("node", "lead").mapInArrow(thin, "node bigint, shingle bigint")
-    return saved(few.join(groups, "shingle").filter("node <> pivot").select("node", "pivot").distinct(), "stars")
+    return lead.select("node", "least", "lead").mapInArrow(thin, "node bigint, least bigint, shingle bigint")
+
+
+def _only(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of the given nodes and some more, without a shuffle."""
+    shared = rows.sparkSession.sparkContext.broadcast(_filter_bits(nodes, "node"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array(_passes(bits, batch.column("node").to_numpy(zero_copy_only=False))))
+
+    return rows.mapInArrow(keep, rows.schema)
+
+
+def stars(lead: DataFrame) -> DataFrame:
+    """(node, pivot): each node with the pivots of the regions it belongs to, pivots themselves left out."""
+    full = lead.filter("n_shingles > 0").select("node", "least", "lead")
+    groups = _shared_shingles(full.select("node", F.explode("lead").alias("shingle")))
+    seen = _thinned(full, groups).join(groups, "shingle").groupBy("node", "least").agg(
+        F.countDistinct("shingle").alias("n"))
+    able = saved(seen.filter("n >= least").select("node"), "able")
+    full = saved(_only(full, able).dropDuplicates(["node"]), "able-leading")
+    groups = _shared_shingles(full.select("node", F.explode("lead").alias("shingle")))
+    pairs = full.select("node", "least", F.explode("lead").alias("shingle")).join(groups, "shingle").groupBy(
+        "node", "least", "pivot").agg(F.count("*").alias("n"))
+    by_support = Window.partitionBy("node").orderBy("n", "pivot").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("node")  # a node has no more pivots than leading shingles
+    pairs = pairs.withColumns({"low": F.sum("n").over(by_support), "all": F.sum("n").over(whole)})
+    return saved(pairs.filter((F.col("all") >= F.col("least")) & (2 * F.col("low") >= F.col("least"))
+                              & (F.col("node") != F.col("pivot"))).select("node", "pivot"), "stars")
 
 
 def sets_of(docs: DataFrame, text: str, wanted: DataFrame, width: int) -> DataFrame:
@@ -375,7 +427,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = nodes.join(least, "root").select("node", "component_id")
-    return lead.drop("lead").join(named, "node", "left").select(
+    return lead.select("doc_id", "n_shingles", "node").join(named, "node", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
