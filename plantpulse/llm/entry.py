@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from plantpulse.llm import bestfit, jaccard, leaks, lines, quality, tokenrows, urls
+from plantpulse.llm import bestfit, jaccard, leaks, lines, private, quality, tokenrows, urls
 
 QUERIES = {
+    "op1_private_data": private.query,
     "op2_url_filter": urls.query,
     "op3_quality_rules": quality.query,
     "op5_bestfit_packing": bestfit.query,

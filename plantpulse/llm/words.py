@@ -90,20 +90,26 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
     return tuple(np.concatenate(x) for x in (hashes, rows, starts, ends))
 
 
-def _pieces(data: np.ndarray, begins: np.ndarray, table: np.ndarray):
-    """Words of some whole texts; a text longer than a piece is hashed piece by piece between words."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    value = table[data]
+def bounds(value: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every run of non-zero bytes that stays within one text; begins: where texts start."""
     inside = value != 0
-    turn = np.zeros(len(data) + 1, bool)
+    turn = np.zeros(len(value) + 1, bool)
     turn[0], turn[-1] = inside[0], inside[-1]
     np.not_equal(inside[1:], inside[:-1], out=turn[1:-1])
-    cut = begins[(begins > 0) & (begins < len(data))]
+    cut = begins[(begins > 0) & (begins < len(value))]
     cut = cut[inside[cut] & inside[cut - 1]]  # two texts that touch without a space
     edges = np.flatnonzero(turn)
-    starts = np.sort(np.concatenate([edges[0::2], cut]))
-    ends = np.sort(np.concatenate([edges[1::2], cut]))
+    if not len(cut):
+        return edges[0::2], edges[1::2]
+    return np.sort(np.concatenate([edges[0::2], cut])), np.sort(np.concatenate([edges[1::2], cut]))
+
+
+def _pieces(data: np.ndarray, begins: np.ndarray, table: np.ndarray):
+    """Words of some whole texts; a text longer than a piece is hashed piece by piece between words."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    value = table[data]
+    starts, ends = bounds(value, begins)
     up, down = powers()
     out = np.zeros(len(starts), np.uint64)
     i = 0
