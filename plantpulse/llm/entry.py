@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plantpulse.llm import bestfit, jaccard, leaks, lines, private, quality, tokenrows, urls
+from plantpulse.llm import bestfit, jaccard, leaks, lines, private, quality, threads, tokenrows, urls
 
 QUERIES = {
     "op1_private_data": private.query,
     "op2_url_filter": urls.query,
     "op3_quality_rules": quality.query,
+    "op4_quote_threads": threads.query,
     "op5_bestfit_packing": bestfit.query,
     "op6_jaccard_join": jaccard.query,
     "op7_decontamination": leaks.query,
@@ -17,6 +18,7 @@ QUERIES = {
 ORACLES = {
     "op2_url_filter": urls.ORACLE,
     "op3_quality_rules": quality.ORACLE,
+    "op4_quote_threads": threads.ORACLE,
     "op7_decontamination": leaks.ORACLE,
     "op8_line_dedup": lines.ORACLE,
 }
