@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plantpulse.llm import bestfit, jaccard, leaks, lines, private, quality, threads, tokenrows, urls
+from plantpulse.llm import bestfit, jaccard, leaks, lines, private, quality, shards, threads, tokenrows, urls
 
 QUERIES = {
     "op1_private_data": private.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_jaccard_join": jaccard.query,
     "op7_decontamination": leaks.query,
     "op8_line_dedup": lines.query,
+    "op9_label_shards": shards.query,
     "op10_token_rows": tokenrows.query,
 }
 ORACLES = {
