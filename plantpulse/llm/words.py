@@ -96,7 +96,7 @@ def bounds(value: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarra
     turn = np.zeros(len(value) + 1, bool)
     turn[0], turn[-1] = inside[0], inside[-1]
     np.not_equal(inside[1:], inside[:-1], out=turn[1:-1])
-    cut = begins[(begins > 0) & (begins < len(value))]
+    cut = np.unique(begins[(begins > 0) & (begins < len(value))])  # empty texts begin where the next one does
     cut = cut[inside[cut] & inside[cut - 1]]  # two texts that touch without a space
     edges = np.flatnonzero(turn)
     if not len(cut):
@@ -131,10 +131,11 @@ def _pieces(data: np.ndarray, begins: np.ndarray, table: np.ndarray):
 def _long_word(value: np.ndarray, up: np.ndarray) -> np.uint64:
     total, factor = np.uint64(0), np.uint64(1)
     step = np.uint64(up[PIECE_BYTES])
-    for at in range(0, len(value), PIECE_BYTES):
-        part = value[at:at + PIECE_BYTES]
-        total = total + factor * np.sum(part * up[:len(part)], dtype=np.uint64)
-        factor = factor * step
+    with np.errstate(over="ignore"):
+        for at in range(0, len(value), PIECE_BYTES):
+            part = value[at:at + PIECE_BYTES]
+            total = total + factor * np.sum(part * up[:len(part)], dtype=np.uint64)
+            factor = factor * step
     return total
 
 
