@@ -40,11 +40,11 @@ from plantpulse.llm.graph import components
 
 WIDTH = 5
 RADIUS = 0.25
-# Counters of the popularity sketch: 8 MB in a task, 2 MB as levels when broadcast, whatever the corpus.
-SKETCH_BITS = 20
+# Counters of the popularity sketch: 32 MB in a task, 8 MB as levels when broadcast, whatever the corpus.
+SKETCH_BITS = 22
 _BLOCKS = 64
-# Bits of the filters of wanted nodes and shingles: 2 MB when broadcast. A full filter only saves nothing.
-FILTER_BITS = 24
+# Bits of the filters of wanted nodes and shingles: 4 MB when broadcast. A full filter only saves nothing.
+FILTER_BITS = 25
 # Leading shingles beyond the first difference, as a part of the set.
 SPARE = 16
 # A region with more members or shingles than this is cut by Spark before a task joins it.
@@ -68,23 +68,31 @@ def popularity(docs: DataFrame, text: str, width: int = WIDTH) -> np.ndarray:
         for batch in batches:
             for _, h, _ in _shingle_slices(batch, "text", width):
                 np.add.at(total, h & np.uint64(size - 1), 1)
-        yield _blocks(total)
+        yield from _blocks(total)
 
-    def _blocks(total: np.ndarray) -> pa.RecordBatch:
-        used = [k for k in range(_BLOCKS) if total[k * part:(k + 1) * part].any()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int32()),
-             pa.array([total[k * part:(k + 1) * part].tobytes() for k in used], pa.binary())], ["block", "counts"])
+    def _blocks(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Counters byte by byte, as most need one within a task."""
+        place = 0
+        while total.any():
+            used = [k for k in range(_BLOCKS) if total[k * part:(k + 1) * part].any()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(used, pa.int32()), pa.array([place] * len(used), pa.int32()),
+                 pa.array([(total[k * part:(k + 1) * part] & 255).astype(np.uint8).tobytes() for k in used], pa.binary())],
+                ["block", "place", "counts"])
+            total >>= 8
+            place += 8
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, x in zip(batch.column("block").to_pylist(), batch.column("counts")):
-                total[k * part:(k + 1) * part] += np.frombuffer(x.as_buffer(), np.int64)
-        yield _blocks(total)
-
-    schema = "block int, counts binary"
-    sums = docs.select(F.col(text).alias("text")).mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
+            for k, p, x in zip(batch.column("block").to_pylist(), batch.column("place").to_pylist(), batch.column("counts")):
+                total.setdefault(k, np.zeros(part, np.int64))[:] += np.frombuffer(x.as_buffer(), np.uint8).astype(np.int64) << p
+        for k, sums in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sums.tobytes()], pa.binary())],
+                                             ["block", "counts"])
+
+    sums = docs.select(F.col(text).alias("text")).mapInArrow(count, "block int, place int, counts binary").repartition(
+        "block").mapInArrow(add, "block int, counts binary")
     out = np.zeros(size, np.int64)
     for row in sums.collect():  # the fixed number of blocks
         out[row.block * part:(row.block + 1) * part] += np.frombuffer(row.counts, np.int64)
@@ -178,8 +186,11 @@ def _thinned(lead: DataFrame, groups: DataFrame) -> DataFrame:
     shared = lead.sparkSession.sparkContext.broadcast(_filter_bits(groups, "shingle"))
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        bits, seen = shared.value, set()
         for batch in batches:
+            nodes = batch.column("node").to_pylist()
+            rows = [i for i, x in enumerate(nodes) if not (x in seen or seen.add(x))]  # copies in one task count once
+            batch = batch.take(pa.array(rows, pa.int64()))
             lists = batch.column("lead")
             keys, n = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
             ok = _passes(bits, keys)
@@ -205,8 +216,9 @@ def stars(lead: DataFrame) -> DataFrame:
     """(node, pivot): each node with the pivots of the regions it belongs to, pivots themselves left out."""
     full = lead.filter("n_shingles > 0").select("node", "least", "lead")
     groups = _shared_shingles(full.select("node", F.explode("lead").alias("shingle")))
-    seen = _thinned(full, groups).join(groups, "shingle").groupBy("node", "least").agg(
-        F.countDistinct("shingle").alias("n"))
+    # copies in different tasks may count twice, which only keeps more nodes
+    seen = _thinned(full, groups).join(groups.select("shingle"), "shingle").groupBy("node", "least").agg(
+        F.count("*").alias("n"))
     able = saved(seen.filter("n >= least").select("node"), "able")
     full = saved(_only(full, able).dropDuplicates(["node"]), "able-leading")
     groups = _shared_shingles(full.select("node", F.explode("lead").alias("shingle")))

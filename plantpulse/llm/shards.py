@@ -3,7 +3,7 @@
 Nodes are groups of equal texts (a group larger than a shard is cut into parts of at most one shard). Links are hubs: a
 line that stands in several texts links them all with one row each, never pair by pair. Each round every hub
 names the shard that holds most of its rows, every node wants the shard most of its hubs name, and as many of those who
-want a shard are let in as its quota has room for, drawn by a hash. At the end shards above their size give
+want a shard are let in as its quota has room for once those who want to leave are gone, drawn by a hash. At the end shards above their size give
 rows to shards below: unlinked ones first, and in the order of their groups, so that few groups are cut.
 
 The law is `rows`: sizes differ by at most one. Loads, quotas and the plan of the last moves are tables with one row per
@@ -56,12 +56,15 @@ def propagate(nodes: DataFrame, hubs: DataFrame, shards: int, quota: float, roun
         called = _top(member, "hub", F.sum("n")).withColumnRenamed("wanted", "shard")
         wishes = _top(member.select("hub", "node").join(called, "hub"), "node", F.count("*"))
         load = now.groupBy("shard").agg(F.sum("n").alias("load"))
-        movers = now.join(wishes, "node").filter("wanted <> shard").select("node", "n", "wanted")
+        movers = saved(now.join(wishes, "node").filter("wanted <> shard").select("node", "n", "shard", "wanted"), "wishes")
         asked = movers.groupBy("wanted").agg(F.sum("n").alias("asked"))
-        room = asked.join(load.withColumnRenamed("shard", "wanted"), "wanted", "left").select(
-            "wanted", (F.greatest(F.lit(0.0), F.lit(quota) - F.coalesce("load", F.lit(0))) / F.col("asked")).alias("part"))
+        leaving = movers.groupBy(F.col("shard").alias("wanted")).agg(F.sum("n").alias("leaving"))
+        there = asked.join(load.withColumnRenamed("shard", "wanted"), "wanted", "left").join(leaving, "wanted", "left")
+        free = F.lit(quota) - F.coalesce("load", F.lit(0)) + F.coalesce("leaving", F.lit(0))
+        room = there.select("wanted", (F.greatest(F.lit(0.0), free) / F.col("asked")).alias("part"))
         draw = F.pmod(F.xxhash64(F.lit(r), "node"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        moved = movers.join(F.broadcast(room), "wanted").filter(draw < F.col("part")).select("node", "wanted")  # a row a shard
+        moved = movers.join(F.broadcast(room), "wanted").filter(
+            draw < F.col("part")).select("node", "wanted")  # a row a shard
         now = saved(now.join(moved, "node", "left").withColumn("shard", F.coalesce("wanted", "shard")).drop("wanted"), "labels")
     return now
 
