@@ -51,6 +51,14 @@ def _tables(spark, d) -> router.Tables:
     return router.Tables(recent=r, facts=r, robots=star.dim_robot(spark, d), hourly=rollup.build_hourly(r))
 
 
+def q_route_stored_rollup(spark, d):
+    """The rollup as the daily job stores it, then a long range answered from the stored table."""
+    path, r = work_path(spark, "rollup"), star.readings(spark, d)
+    jobs.store_hourly_rollup(r, path)
+    stored = router.Tables(recent=r, facts=r, robots=star.dim_robot(spark, d), hourly=spark.read.parquet(path))
+    return rounded(router.route_query(stored, LOW, HIGH, metrics=["temperature", "humidity"]))
+
+
 def _routed(spark, d) -> DataFrame:
     return router.incremental(star.readings(spark, d), LOW, HIGH)
 
@@ -138,12 +146,14 @@ def q_retention_delete(spark, d):
 
 
 def q_backup_restore(spark, d):
-    """Full backup of the older half, increment of the rest, restore both."""
+    """Full backup of the older half, increment of what came later, restore both. One row in ten of the older half
+    comes late, and some rows have no time."""
     path, split = work_path(spark, "backup"), datetime(2024, 1, 15)
-    r = star.readings(spark, d)
-    old = r.filter(F.col("event_time") <= timefn.at(split))
+    number = F.col("data_id").cast("bigint")
+    r = star.readings(spark, d).withColumn("event_time", F.when(number % 97 != 0, F.col("event_time")))
+    old = r.filter((F.col("event_time") <= timefn.at(split)) & (number % 10 != 0))
     backup.full_backup(spark, {"readings": old}, f"{path}/full", split)
-    backup.incremental_backup(spark, {"readings": r}, f"{path}/inc", split, NOW)
+    backup.incremental_backup(spark, {"readings": r}, f"{path}/inc", split, NOW, [f"{path}/full"])
     backup.restore(spark, "readings", f"{path}/restored", f"{path}/full", [f"{path}/inc"])
     return rounded(spark.read.parquet(f"{path}/restored").select("data_id", "event_time", "robot_id", "pressure"))
 
@@ -197,10 +207,9 @@ def q_collect_counts(spark, d):
 
 def q_topic_routing(spark, d):
     rows = messages.topic_rows(messages.to_events(star.readings(spark, d)))
-    return rounded(rows.select(
-        "topic", "key", F.get_json_object("value", "$.data_id").alias("data_id"),
-        F.get_json_object("value", "$.metrics.temperature").cast("double").alias("temperature"),
-        F.get_json_object("value", "$.event_time").alias("event_time")))
+    sent = F.from_json("value", "data_id string, metrics struct<temperature: double>, event_time string")
+    return rounded(rows.select("topic", "key", sent.alias("m")).select(
+        "topic", "key", "m.data_id", F.col("m.metrics.temperature").alias("temperature"), "m.event_time"))
 
 
 def q_validate_stream(spark, d):
@@ -231,7 +240,7 @@ def q_desensitize(spark, d):
 
 def q_desensitize_noise(spark, d):
     r = star.readings(spark, d).select("data_id", "pressure")
-    return mask.desensitize(r, {"pressure": "NOISE"}, seed=7)
+    return rounded(mask.desensitize(r, {"pressure": "NOISE"}, seed=7, key="data_id"))
 
 
 def q_robot_updates(spark, d):
@@ -294,6 +303,7 @@ def _telemetry_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             _tables(s, d), LOW, HIGH, metrics=["temperature", "humidity"])),
         "route_historical_fallback": lambda s, d: rounded(router.route_query(
             _tables(s, d), LOW, HIGH, metrics=["temperature", "pressure"])),
+        "route_stored_rollup": q_route_stored_rollup,
         "hourly_rollup": lambda s, d: rounded(rollup.build_hourly(r(s, d))),
         # buckets and trends
         "bucket_minute": _bucket("minute"), "bucket_hourly": _bucket("hourly"),
@@ -329,6 +339,10 @@ def _telemetry_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "alert_records": lambda s, d: alerts.alert_records(alerts.sustained_alerts(
             r(s, d), star.alert_rules(s, RULES), keys=["robot_id"])).select(
             "rule_id", "robot_id", "title", "content", "severity", "status", "create_time"),
+        "alert_rules_battery": lambda s, d: alerts.sustained_alerts(
+            star.status_history(s, d), star.alert_rules(s), keys=["robot_id"], metrics=("battery_level",)),
+        "alert_rules_chunked": lambda s, d: alerts.sustained_alerts(
+            r(s, d), star.alert_rules(s, RULES), keys=["robot_id"], chunk_seconds=6 * 3600, busy_rows=0),
         # rows
         "realtime_topn": lambda s, d: raw.newest(r(s, d), 50).select("data_id", "event_time", "robot_id", "sensor_type"),
         "range_query": lambda s, d: rounded(raw.time_range(r(s, d), LOW, HIGH).select(
@@ -337,6 +351,8 @@ def _telemetry_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             r(s, d).select("data_id", "event_time", "robot_id"), ["event_time", "data_id"], 3, 20),
         "page_deep": lambda s, d: raw.page_by_position(
             r(s, d).select("data_id", "event_time", "robot_id"), ["event_time", "data_id"], 30, 20),
+        "page_with_nulls": lambda s, d: raw.page_by_position(
+            r(s, d).select("temperature", "data_id"), ["temperature", "data_id"], 30, 20),
         "latest_reading": lambda s, d: raw.latest_per_robot(r(s, d)).select("robot_id", "data_id", "event_time", "sensor_id"),
         "robot_sensor_latest": lambda s, d: rounded(raw.robot_sensor_latest(
             st(s, d), star.dim_robot(s, d), r(s, d), star.dim_sensor(s, d))),
@@ -368,7 +384,9 @@ def _telemetry_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "command_duration": lambda s, d: robots.command_durations(cmd(s, d)),
         "robot_latest_status": lambda s, d: robots.latest_status(r(s, d), NOW, 6 * 3600),
         "robot_dim_upsert": q_robot_updates,
-        "reading_tags": lambda s, d: robots.tags_per_reading(robots.derived_tags(r(s, d))),
+        "reading_tags": lambda s, d: robots.reading_tags(r(s, d)),
+        "reading_tags_attached": lambda s, d: robots.reading_tags(r(s, d), r(s, d).filter(
+            "sensor_type = 'NOISE' OR humidity < 50").selectExpr("data_id", "if(humidity < 20, 'mine', 'batch') AS tag")),
         "subscription_match": lambda s, d: robots.subscription_matches(r(s, d), star.subscriptions(s, d)),
         "status_topics": q_status_topics, "alert_topics": q_alert_topics, "command_topics": q_command_topics,
         # validation, messages, functions
@@ -395,13 +413,15 @@ def _telemetry_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cleanup_preview": lambda s, d: retention.cleanup_preview(r(s, d), datetime(2024, 1, 16)),
         "storage_stats": lambda s, d: rounded(retention.storage_stats(r(s, d))),
         "incremental_delta": lambda s, d: backup.incremental_delta(r(s, d), datetime(2024, 1, 20)).select("data_id", "event_time"),
-        "table_checksum": lambda s, d: backup.digest_counts(r(s, d), ["data_id", "robot_id", "sensor_id", "sensor_type"]),
+        "table_checksum": lambda s, d: backup.digest_counts(r(s, d)),
         "backup_restore": q_backup_restore,
         "partitioned_write": q_partitioned_write,
         "compress_rewrite": q_compress_rewrite,
         # streams, run to the end of the files that are there
         "stream_ingest": lambda s, d: rounded(ingest.ingested(s, _ingested(s, d)).select(
             "data_id", "event_time", "robot_id", "sensor_type", "temperature", "humidity", "pressure")),
+        "stream_ingest_metrics": lambda s, d: rounded(ingest.ingested(s, _ingested(s, d), "metrics").select(
+            "data_id", F.explode("metrics").alias("metric", "value"))),
         "stream_quarantine": lambda s, d: ingest.quarantine(s, _ingested(s, d)).groupBy("reason").agg(F.count("*").alias("n")),
         "stream_stats": lambda s, d: rounded(ingest.processing_stats(s, _ingested(s, d)).select(
             "total_processed", "total_errors", "success_rate")),

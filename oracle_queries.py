@@ -247,6 +247,7 @@ ORACLE: dict[str, str] = {
     "route_incremental": _incremental(BOUND),
     "route_incremental_day": _incremental("event_time BETWEEN '2024-01-15 00:00:00' AND '2024-01-16 00:00:00'"),
     "route_historical_rollup": _incremental("CAST(event_time AS DATE) BETWEEN '2024-01-01' AND '2024-01-31'", ("temperature", "humidity")),
+    "route_stored_rollup": _incremental("CAST(event_time AS DATE) BETWEEN '2024-01-01' AND '2024-01-31'", ("temperature", "humidity")),
     "route_historical_fallback": _incremental(BOUND, ("temperature", "pressure")),
     "hourly_rollup": _with(READINGS) + "SELECT strftime(event_time, '%Y-%m-%d') AS dt, strftime(event_time, '%H') AS hr, robot_id, sensor_type, "
     + ", ".join(f"{_r(f'sum({m})', f'sum_{m}')}, count({m}) AS cnt_{m}, {_r(f'avg({m})', f'avg_{m}')}, "
@@ -300,6 +301,9 @@ GROUP BY monday""",
     "export_json_header": _with(READINGS, ROUTED) + "SELECT '2024-01-31 00:00:00' AS export_time, count(*) AS total_records FROM routed",
     "desensitize": _with(READINGS) + f"""SELECT data_id, '***' AS robot_id, CAST(floor(temperature + 0.5) AS BIGINT) AS temperature,
   {_r('pressure', 'pressure')}, status FROM readings""",
+    "desensitize_noise": _with(READINGS) + f"""SELECT data_id,
+  {_r("pressure * (1.0 + (CAST(CAST('0x' || substr(md5('7|' || data_id), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE - 0.5::DOUBLE) * 0.1::DOUBLE)", 'pressure')}
+FROM readings""",
     "anomaly_statistical": _with(READINGS, ROUTED) + _STATISTICAL,
     "anomaly_threshold": _with(READINGS, DAILY) + _THRESHOLD,
     "anomaly_all": _with(READINGS, DAILY) + _STATISTICAL + "\nUNION ALL\n" + _THRESHOLD,
@@ -308,6 +312,13 @@ GROUP BY monday""",
   description, status, task_status FROM graded WHERE abnormal""",
     "alert_rules_sustained": _alerts("robot_id, sensor_id") + "SELECT * FROM alerts",
     "alert_rules_by_robot": _alerts("robot_id") + "SELECT * FROM alerts",
+    "alert_rules_chunked": _alerts("robot_id") + "SELECT * FROM alerts",
+    "alert_rules_battery": _with(READINGS, """numbered AS (
+  SELECT *, humidity < 10 AS breach, sum(CASE WHEN humidity < 10 THEN 0 ELSE 1 END) OVER (
+    PARTITION BY robot_id ORDER BY event_time, data_id ROWS UNBOUNDED PRECEDING) AS gap FROM readings WHERE humidity IS NOT NULL)""") + """
+SELECT 'RULE002' AS rule_id, 'BATTERY' AS alert_type, 'CRITICAL' AS severity, robot_id, min(event_time) AS start_time,
+  max(event_time) AS end_time, count(*) AS readings, date_sub('second', min(event_time), max(event_time)) AS lasted_seconds
+FROM numbered WHERE breach GROUP BY robot_id, gap HAVING date_sub('second', min(event_time), max(event_time)) >= 60""",
     "alert_records": _alerts("robot_id") + """SELECT rule_id, robot_id, rule_id || ' on ' || robot_id AS title,
   'held for ' || CAST(lasted_seconds AS VARCHAR) || ' s' AS content, severity, 'ACTIVE' AS status, end_time AS create_time FROM alerts""",
     "realtime_topn": _with(READINGS) + """SELECT data_id, event_time, robot_id, sensor_type FROM readings
@@ -317,6 +328,9 @@ ORDER BY event_time DESC, data_id DESC LIMIT 50""",
   CAST(ceil(count(*) OVER () / 20) AS BIGINT) AS pages FROM readings ORDER BY event_time, data_id LIMIT 20 OFFSET 40""",
     "page_deep": _with(READINGS) + """SELECT data_id, event_time, robot_id, count(*) OVER () AS total,
   CAST(ceil(count(*) OVER () / 20) AS BIGINT) AS pages FROM readings ORDER BY event_time, data_id LIMIT 20 OFFSET 580""",
+    "page_with_nulls": _with(READINGS) + """SELECT temperature, data_id, count(*) OVER () AS total,
+  CAST(ceil(count(*) OVER () / 20) AS BIGINT) AS pages FROM readings ORDER BY temperature NULLS FIRST, data_id LIMIT 20 OFFSET 580""",
+    "sample_random": _with(READINGS) + "SELECT data_id, robot_id FROM readings ORDER BY md5('3|' || data_id), data_id LIMIT 100",
     "latest_reading": _with(READINGS, LATEST) + "SELECT robot_id, data_id, event_time, sensor_id FROM latest",
     "robot_sensor_latest": _with(READINGS, LATEST, STATUS, DIM_ROBOT, DIM_SENSOR) + f"""
 SELECT s.robot_id, s.robot_name, s.robot_type, s.status, d.location, {_r('s.battery_level', 'battery_level')},
@@ -382,6 +396,9 @@ FROM commands WHERE complete_time IS NOT NULL""",
 FROM dim_robot d LEFT JOIN last l ON d.robot_id = l.robot_id""",
     "reading_tags": _with(READINGS) + """SELECT data_id, concat_ws(',', CASE WHEN status <> 'NORMAL' THEN 'anomaly' END,
   CASE WHEN temperature > 100 THEN 'critical' END, 'raw') AS tags FROM readings""",
+    "reading_tags_attached": _with(READINGS) + """SELECT data_id, concat_ws(',', CASE WHEN humidity >= 20 AND humidity < 50 THEN 'batch' END,
+  CASE WHEN status <> 'NORMAL' THEN 'anomaly' END, CASE WHEN temperature > 100 THEN 'critical' END, 'raw',
+  CASE WHEN humidity < 20 THEN 'mine' END) AS tags FROM readings""",
     "subscription_match": _with(READINGS, SUBSCRIPTIONS) + """SELECT subscription_id, data_id FROM readings r JOIN subs s
 ON r.robot_id = s.robot_id WHERE s.types IS NULL OR list_contains(s.types, r.sensor_type)
 UNION ALL SELECT subscription_id, data_id FROM readings r JOIN subs s ON s.robot_id IS NULL AND list_contains(s.types, r.sensor_type)""",
@@ -459,14 +476,24 @@ FROM backup_tasks WHERE start_time > '1996-01-01' AND start_time < '2001-01-01'"
     "storage_stats": _with(READINGS) + f"""SELECT count(*) AS total_rows, count(DISTINCT CAST(event_time AS DATE)) AS partition_count,
   {_r('count(*) / count(DISTINCT CAST(event_time AS DATE))', 'rows_per_day')}, min(event_time) AS oldest, max(event_time) AS latest FROM readings""",
     "incremental_delta": _with(READINGS) + "SELECT data_id, event_time FROM readings WHERE event_time > '2024-01-20'",
-    "table_checksum": _with(READINGS, "h AS (SELECT md5(concat_ws('|', data_id, robot_id, sensor_id, sensor_type)) AS row FROM readings)") + """
-SELECT substr(row, 1, 1) AS digit, count(*) AS row_count, min(row) AS lowest, max(row) AS highest FROM h GROUP BY 1""",
-    "backup_restore": _with(READINGS) + f"SELECT data_id, event_time, robot_id, {_r('pressure', 'pressure')} FROM readings",
+    "table_checksum": _with(READINGS, "h AS (SELECT md5(concat_ws('|', " + ", ".join(
+        f"coalesce({x}, '\\N')" for x in (
+            "data_id", "CAST(epoch_us(event_time) AS VARCHAR)", "robot_id", "sensor_id", "sensor_type", *[
+                f"CAST(CAST(round({m} * 1e6) AS BIGINT) AS VARCHAR)" for m in (
+                    "temperature", "humidity", "pressure", "position_x", "position_y", "position_z")], "status"))
+        + ")) AS row FROM readings)") + """
+SELECT substr(row, 1, 1) AS digit, count(*) AS row_count,
+  CAST(sum(CAST(CAST('0x' || substr(row, 2, 12) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS digest FROM h GROUP BY 1""",
+    "backup_restore": _with(READINGS) + f"""SELECT data_id, CASE WHEN CAST(data_id AS BIGINT) % 97 <> 0 THEN event_time END AS event_time,
+  robot_id, {_r('pressure', 'pressure')} FROM readings""",
     "partitioned_write": _with(READINGS) + f"""SELECT strftime(event_time, '%Y-%m-%d') AS dt, robot_id, count(*) AS n, {_r('max(pressure)', 'max_pressure')}
 FROM readings GROUP BY 1, 2""",
     "compress_rewrite": _with(READINGS) + f"""SELECT data_id, robot_id, strftime(event_time, '%Y-%m-%d') AS dt, {_r('pressure', 'pressure')} FROM readings""",
     "stream_ingest": _with(READINGS) + f"""SELECT data_id, event_time, robot_id, sensor_type, {_r('temperature', 'temperature')},
   {_r('humidity', 'humidity')}, {_r('pressure', 'pressure')} FROM readings WHERE status = 'NORMAL' AND ({_REASON}) IS NULL""",
+    "stream_ingest_metrics": _with(READINGS, f"ok AS (SELECT * FROM readings WHERE status = 'NORMAL' AND ({_REASON}) IS NULL)")
+    + "\nUNION ALL ".join(f"SELECT data_id, '{m}' AS metric, {_r(m, 'value')} FROM ok WHERE {m} IS NOT NULL" for m in (
+        "temperature", "humidity", "pressure", "position_x", "position_y", "position_z")),
     "stream_quarantine": _with(READINGS, f"v AS (SELECT CASE WHEN status <> 'NORMAL' THEN 'not JSON' ELSE {_REASON} END AS reason FROM readings)")
     + "SELECT reason, count(*) AS n FROM v WHERE reason IS NOT NULL GROUP BY reason",
     "stream_stats": _with(READINGS, f"v AS (SELECT status <> 'NORMAL' OR ({_REASON}) IS NOT NULL AS bad FROM readings)") + f"""

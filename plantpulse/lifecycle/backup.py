@@ -22,16 +22,51 @@ def table_checksum(df: DataFrame) -> DataFrame:
                   F.coalesce(F.sum(digest), F.lit(0).cast("decimal(38,0)")).cast("decimal(38,0)").alias("checksum"))
 
 
-def digest_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Row count per first hexadecimal digit of the row's MD5: a checksum other engines can repeat."""
-    row = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]))
+def row_text(df: DataFrame, columns: list[str]):
+    """A row as text that other engines can repeat: doubles as whole millionths, times as microseconds, NULL marked."""
+    parts = []
+    for c in columns:
+        kind, column = df.schema[c].dataType, F.col(c)
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            column = F.round(column * 1e6).cast("bigint")
+        elif isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
+            column = F.unix_micros(column.cast("timestamp"))
+        parts.append(F.coalesce(column.cast("string"), F.lit("\\N")))
+    return F.concat_ws("|", *parts)
+
+
+def digest_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Row count and summed digests per first hexadecimal digit of the row's MD5: a checksum other engines can repeat.
+
+    All columns by default. Every row counts in the sum, so one changed value changes it.
+    """
+    row = F.md5(row_text(df, columns or df.columns))
+    part = F.conv(F.substring(row, 2, 12), 16, 10).cast("decimal(38,0)")
     return df.groupBy(F.substring(row, 1, 1).alias("digit")).agg(
-        F.count("*").alias("row_count"), F.min(row).alias("lowest"), F.max(row).alias("highest"))
+        F.count("*").alias("row_count"), F.sum(part).cast("string").alias("digest"))
 
 
 def incremental_delta(readings: DataFrame, since: datetime) -> DataFrame:
-    """Rows newer than the last backup."""
-    return readings.filter(F.col("event_time") > at(since))
+    """Rows with an event time after the last backup. Rows that arrive late are not among them, see `not_yet_saved`."""
+    rows = readings.filter(F.col("event_time") > at(since))
+    if "dt" in readings.columns:
+        rows = rows.filter(F.col("dt").cast("string") >= f"{since:%Y-%m-%d}")
+    return rows
+
+
+def _identity(df: DataFrame, key: str):
+    """The key of a row, or a digest of the row where it has none."""
+    own = F.md5(row_text(df, [c for c, kind in df.dtypes if not kind.startswith(("map", "array", "struct", "variant"))]))
+    return F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), own)
+
+
+def not_yet_saved(rows: DataFrame, saved: list[DataFrame], key: str = "data_id") -> DataFrame:
+    """Rows whose key no earlier part of the backup holds, whatever their event time: late ones and those without one too."""
+    known = None
+    for part in saved:
+        ids = part.select(_identity(part, key).alias("__id"))
+        known = ids if known is None else known.unionByName(ids)
+    return rows.withColumn("__id", _identity(rows, key)).join(known, "__id", "left_anti").drop("__id")
 
 
 def _save(spark, name, df, path, kind, since, until):
@@ -49,11 +84,14 @@ def full_backup(spark: SparkSession, tables: dict[str, DataFrame], path: str, un
 
 
 def incremental_backup(spark: SparkSession, tables: dict[str, DataFrame], path: str,
-                       since: datetime, until: datetime) -> DataFrame:
-    """Copy the rows newer than `since`, up to `until`."""
+                       since: datetime, until: datetime, earlier: list[str], key: str = "data_id") -> DataFrame:
+    """Copy the rows that arrived since: those that no earlier part (paths of the full backup and increments) holds.
+
+    `since` and `until` are noted in the manifest; they do not choose rows.
+    """
     rows = []
     for name, df in tables.items():
-        delta = incremental_delta(df, since).filter(F.col("event_time") <= at(until))
+        delta = not_yet_saved(df, [spark.read.parquet(f"{p}/{name}") for p in earlier], key)
         rows.append(_save(spark, name, delta, path, "INCREMENTAL_BACKUP", since, until))
     return _manifest(spark, rows, path)
 
@@ -82,22 +120,16 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def restored(spark: SparkSession, name: str, full: str, increments=(), time: str = "event_time") -> DataFrame:
-    """Full snapshot plus increments, oldest first.
-
-    Each part counts only up to the moment from which the next one starts, so a row that two parts hold
-    is taken once, without comparing rows.
-    """
+def restored(spark: SparkSession, name: str, full: str, increments=()) -> DataFrame:
+    """Full snapshot plus increments; an increment holds only what no earlier part does."""
     df = spark.read.parquet(f"{full}/{name}")
     for path in increments:
-        since = read_manifest(spark, path).filter(F.col("table_name") == name).first().since
-        df = df.filter(F.col(time).isNull() | (F.col(time) <= at(since)))
         df = df.unionByName(spark.read.parquet(f"{path}/{name}"))
     return df
 
 
 def restore(spark: SparkSession, name: str, target: str, full: str, increments=(), overwrite: bool = False,
-            dry_run: bool = False, time: str = "event_time") -> DataFrame:
+            dry_run: bool = False) -> DataFrame:
     """Verify all parts and, unless it is a dry run, write the table. Returns the check rows."""
     check = verify(spark, full)
     for path in increments:
@@ -107,7 +139,7 @@ def restore(spark: SparkSession, name: str, target: str, full: str, increments=(
     if bad:
         raise ValueError(f"{bad} part(s) of the backup of {name} do not match the manifest")
     if not dry_run:
-        restored(spark, name, full, increments, time).write.mode(
+        restored(spark, name, full, increments).write.mode(
             "overwrite" if overwrite else "errorifexists").parquet(target)
     return check
 
@@ -126,7 +158,8 @@ def same_files(spark: SparkSession, a: str, b: str) -> DataFrame:
     """Files of two folders by relative path, and whether their digests agree."""
 
     def relative(root):
-        name = F.regexp_replace("path", "^.*?" + root.rstrip("/").replace(".", r"\."), "")
+        place = F.locate(root.rstrip("/"), F.col("path")) + len(root.rstrip("/"))
+        name = F.substring(F.col("path"), place, F.length("path"))
         return file_digests(spark, root).select(name.alias("file"), "md5")
 
     left, right = relative(a).withColumnRenamed("md5", "a"), relative(b).withColumnRenamed("md5", "b")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from plantpulse.functions.timefn import at
 from plantpulse.session import remove_path
 from plantpulse.sinks.tables import checked_name
-from plantpulse.sources.tables import file_listing
+from plantpulse.sources.tables import file_listing, since_until
 
 # Fixed value: days kept.
 RETENTION_DAYS = 90
@@ -21,7 +21,7 @@ def cutoff(now: datetime, days: int = RETENTION_DAYS) -> datetime:
 
 def kept(readings: DataFrame, before: datetime) -> DataFrame:
     """Rows that survive: everything not strictly older than the cutoff."""
-    return readings.filter(F.col("event_time") >= at(before))
+    return since_until(readings, start=before)
 
 
 def delete_older(spark: SparkSession, path: str, before: datetime) -> None:
@@ -66,7 +66,7 @@ def drop_expired_partitions(spark: SparkSession, table: str, before: datetime) -
 
 def cleanup_preview(readings: DataFrame, before: datetime) -> DataFrame:
     """What a cleanup would remove: rows, days touched, oldest and newest. Counted per day first."""
-    per_day = readings.filter(F.col("event_time") < at(before)).groupBy(
+    per_day = since_until(readings, before=before).groupBy(
         F.to_date("event_time").alias("day")).agg(
         F.count("*").alias("n"), F.min("event_time").alias("first"), F.max("event_time").alias("last"))
     return per_day.agg(

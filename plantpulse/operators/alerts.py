@@ -20,14 +20,15 @@ def parsed_rules(rules: DataFrame) -> DataFrame:
                 "c.metric", "c.operator", "c.threshold", "c.duration"))
 
 
-def judged(readings: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per rule and reading that carries the rule's metric, with `breach` set.
+def judged(readings: DataFrame, rules: DataFrame, keys: list[str], metrics=METRICS) -> DataFrame:
+    """One row per rule and reading that carries the rule's metric, with `breach` set. `metrics` names the columns that
+    rules are judged on, such as the battery level of a status history.
 
     Rules join on the metric name, by broadcast while they are few. Beyond that it is a shuffled join,
     whose few large metric partitions adaptive execution splits.
     """
     kept = [*keys, "event_time", "data_id", *[c for c in (CHUNK,) if c in readings.columns]]
-    values = long_form(readings, kept, METRICS).filter(~F.isnan("value"))
+    values = long_form(readings, kept, metrics).filter(~F.isnan("value"))
     joined = values.join(small(rules.select("rule_id", "metric", "operator", "threshold")), "metric")
     v, limit, op = F.col("value"), F.col("threshold"), F.col("operator")
     breach = (
@@ -38,23 +39,23 @@ def judged(readings: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def breach_runs(readings: DataFrame, rules: DataFrame, keys: list[str], chunk_seconds: int = 3600,
-                busy_rows: int | None = None) -> DataFrame:
+                busy_rows: int | None = None, metrics=METRICS) -> DataFrame:
     """Every unbroken run of breaching readings per rule and key.
 
     Readings are shuffled once, before they fan out into one row per rule: all later steps group by the
     key and its chunk, so the rules' rows stay where their reading is.
     """
-    slim = readings.select(*keys, "event_time", "data_id", *METRICS)
+    slim = readings.select(*keys, "event_time", "data_id", *metrics)
     placed = with_chunk(slim, keys, "event_time", chunk_seconds, busy_rows).repartition(*keys, CHUNK)
-    rows = judged(placed, parsed_rules(rules), keys)
+    rows = judged(placed, parsed_rules(rules), keys, metrics)
     return islands(rows, [*keys, "rule_id"], "event_time", "data_id", "breach")
 
 
 def sustained_alerts(readings: DataFrame, rules: DataFrame, keys=("robot_id", "sensor_id"),
-                     chunk_seconds: int = 3600, busy_rows: int | None = None) -> DataFrame:
+                     chunk_seconds: int = 3600, busy_rows: int | None = None, metrics=METRICS) -> DataFrame:
     """One alert per run that lasts at least the rule's duration, from first to last breaching reading."""
     keys = list(keys)
-    runs = breach_runs(readings, rules, keys, chunk_seconds, busy_rows)
+    runs = breach_runs(readings, rules, keys, chunk_seconds, busy_rows, metrics)
     details = parsed_rules(rules).select("rule_id", "alert_type", "severity", "duration")
     lasted = seconds_between("start_time", "end_time")
     return (

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from plantpulse.functions.columns import share
 from plantpulse.functions.timefn import at, truncated
 from plantpulse.schemas import METRICS
+from plantpulse.sources.tables import since_until
 
 
 def system_performance(readings: DataFrame, now: datetime, hours: int = 24,
@@ -18,7 +19,7 @@ def system_performance(readings: DataFrame, now: datetime, hours: int = 24,
     Aggregated per (robot, sensor) first: the distinct counts then run over that small table instead
     of multiplying the readings.
     """
-    rows = readings.filter(F.col("event_time") >= at(now - timedelta(hours=hours)))
+    rows = since_until(readings, start=now - timedelta(hours=hours))
     pairs = rows.groupBy("robot_id", "sensor_id").agg(
         F.count("*").alias("n"), F.min("event_time").alias("first"), F.max("event_time").alias("last"),
         *[c for m in METRICS for c in (F.sum(m).alias(f"sum_{m}"), F.count(m).alias(f"cnt_{m}"))])

@@ -18,8 +18,7 @@ WHOLE = -(1 << 62)  # chunk number of keys that are not cut; no time slot is tha
 # A key is busy from this many rows on; the second figure bounds how many keys can be busy.
 BUSY_ROWS = 1_000_000
 MOST_BUSY_KEYS = 20_000
-# Up to this many picked row keys are broadcast.
-BROADCAST_KEYS = 1_000_000
+NO_TIME = -(1 << 61)  # chunk number of rows of a busy key that have no time
 
 
 def with_chunk(df: DataFrame, keys: list[str], time: str, seconds: int, busy_rows: int | None = None) -> DataFrame:
@@ -30,14 +29,21 @@ def with_chunk(df: DataFrame, keys: list[str], time: str, seconds: int, busy_row
     """
     least = BUSY_ROWS if busy_rows is None else busy_rows
     sizes = df.groupBy(*keys).agg(F.count("*").alias("__n"))
-    portion = df.agg(F.count("*")).scalar() / F.lit(MOST_BUSY_KEYS)
+    portion = sizes.agg(F.sum("__n")).scalar() / F.lit(MOST_BUSY_KEYS)
     busy = sizes.filter((F.col("__n") > least) & (F.col("__n") > portion)).select(*keys, F.lit(True).alias("__busy"))
-    slot = F.floor(epoch_seconds(time) / F.lit(seconds)).cast("bigint")
+    slot = F.coalesce(F.floor(epoch_seconds(time) / F.lit(seconds)).cast("bigint"), F.lit(NO_TIME))
     return (
-        df.join(F.broadcast(busy), keys, "left")
+        null_safe_join(df, F.broadcast(busy), keys)
         .withColumn(CHUNK, F.when(F.col("__busy"), slot).otherwise(F.lit(WHOLE))).drop("__busy"))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join in which a NULL key meets a NULL key; the keys of the left side stay."""
+    named = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys]
+    return left.join(named, same, "left").drop(*[f"__right_{k}" for k in keys])
+
+
 def islands(df: DataFrame, keys: list[str], time: str, tie: str, inside: str, chunk_seconds: int = 3600,
             busy_rows: int | None = None) -> DataFrame:
     """Maximal runs of rows with `inside` true, per key in (time, tie) order.
@@ -63,7 +69,7 @@ def islands(df: DataFrame, keys: list[str], time: str, tie: str, inside: str, ch
         .withColumn("__before", F.sum("__gaps").over(earlier)).drop("__gaps")
     )
     return (
-        pieces.join(gaps_before, group, "left")
+        null_safe_join(pieces, gaps_before, group)
         .withColumn("__run", F.col("__gap") + F.coalesce("__before", F.lit(0)))
         .groupBy(*keys, "__run")
         .agg(F.min("__from").alias("start_time"), F.max("__to").alias("end_time"),
@@ -86,8 +92,7 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], value: str,
     chunks = Window.partitionBy(*keys).orderBy(CHUNK)
     carried = last.select(*group, F.lag(F.struct(F.col("__last.__v").alias("v"))).over(chunks).alias("__carried"))
     return (
-        cut.withColumn("__own", own)
-        .join(carried, group, "left")
+        null_safe_join(cut.withColumn("__own", own), carried, group)
         .withColumn(name, F.coalesce("__own", "__carried")["v"])
         .drop("__own", "__carried", CHUNK)
     )
@@ -111,15 +116,17 @@ def with_row_index(df: DataFrame, order: list[Column | str], name: str = "row_in
     return pinned.withColumn(name, offset + row), total
 
 
-def rows_at(df: DataFrame, order: list[str], chosen, most: int, descending: bool = False) -> DataFrame:
-    """Rows whose position in the order satisfies `chosen(index_column, total)`; at most `most` do.
+def total_order(df: DataFrame, order: list[str], descending: bool = False) -> list[Column]:
+    """The order columns, then a hash of the whole row: every way of sorting by it gives the same rows, with
+    NULLs and repeated keys, and rows that still tie are equal. NULLs come first, or last when descending."""
+    tie = F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))])
+    return [F.col(c).desc() if descending else F.col(c).asc() for c in order] + [tie]
+
+
+def rows_at(df: DataFrame, order: list[str], chosen, descending: bool = False) -> DataFrame:
+    """Rows whose position in the total order satisfies `chosen(index_column, total)`.
 
-    Only the order columns are sorted and pinned; the chosen keys then pick their full rows by a semi
-    join. As their number is known, they are broadcast and the table itself is not shuffled; very many
-    are left to the planner. The order columns must identify a row and hold no NULL.
+    The numbered rows themselves are returned, so nothing is looked up again by columns that may be NULL or repeat.
     """
-    keys = df.select(*order)
-    by = [F.col(c).desc() for c in order] if descending else list(order)
-    numbered, total = with_row_index(keys, by)
-    picked = numbered.filter(chosen(F.col("row_index"), total)).select(*order)
-    return df.join(F.broadcast(picked) if most <= BROADCAST_KEYS else picked, order, "left_semi")
+    numbered, total = with_row_index(df, total_order(df, order, descending), "__row_index")
+    return numbered.filter(chosen(F.col("__row_index"), total)).drop("__row_index")

@@ -6,10 +6,11 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from plantpulse.operators.ordered import rows_at
+from plantpulse.operators.ordered import rows_at, total_order
 from plantpulse.sources.tables import in_time_range, with_ids
 
-# Up to this many leading rows Spark keeps a bounded heap per task; beyond, rows are numbered.
+# Up to this many leading rows Spark keeps a bounded heap per task; beyond, rows are numbered. Both ways sort by the
+# same total order, so the answer does not depend on it.
 HEAP_ROWS = 100_000
 
 
@@ -20,14 +21,10 @@ def newest(readings: DataFrame, n: int, robot_ids=None, sensor_types=None) -> Da
 
 
 def first_rows(df: DataFrame, order: list[str], n: int, descending: bool = False) -> DataFrame:
-    """The first n rows of an order whose columns identify a row."""
+    """The first n rows of an order; NULLs and repeated keys have their fixed place."""
     if n <= HEAP_ROWS:
-        return df.orderBy(*_directed(order, descending)).limit(n)
-    return rows_at(df, order, lambda i, _: i < n, n, descending)
-
-
-def _directed(order, descending):
-    return [F.col(c).desc() if descending else F.col(c) for c in order]
+        return df.orderBy(*total_order(df, order, descending)).limit(n)
+    return rows_at(df, order, lambda i, _: i < n, descending)
 
 
 def time_range(readings: DataFrame, start: datetime, end: datetime, robot_ids=None, sensor_types=None,
@@ -43,20 +40,20 @@ def page(df: DataFrame, order: list[str], number: int, size: int, first_page: in
     """One page plus the columns `total` and `pages`; past the end it has no rows.
 
     Early pages come from a bounded sort. Deep ones would make every task keep all rows up to the
-    offset, so there the order columns are numbered instead and the page is picked by position.
+    offset, so there the rows are numbered instead and the page is picked by position: the same rows.
     """
     skip = (number - first_page) * size
     if skip + size > HEAP_ROWS:
         return page_by_position(df, order, number, size, first_page, descending)
-    rows = df.orderBy(*_directed(order, descending)).offset(skip).limit(size)
+    rows = df.orderBy(*total_order(df, order, descending)).offset(skip).limit(size)
     return _with_totals(rows, df, size)
 
 
 def page_by_position(df: DataFrame, order: list[str], number: int, size: int, first_page: int = 1,
                      descending: bool = False) -> DataFrame:
-    """The same page, found by numbering the order columns; its cost does not grow with the offset."""
+    """The same page, found by numbering the rows; its cost does not grow with the offset."""
     skip = (number - first_page) * size
-    rows = rows_at(df, order, lambda i, _: i.between(skip, skip + size - 1), size, descending)
+    rows = rows_at(df, order, lambda i, _: i.between(skip, skip + size - 1), descending)
     return _with_totals(rows, df, size)
 
 
@@ -114,9 +111,9 @@ def robot_sensor_latest(status: DataFrame, robots: DataFrame, readings: DataFram
 def sample_random(df: DataFrame, n: int, seed: int = 0, key: str = "data_id") -> DataFrame:
     """Exactly n rows at random, all rows when there are no more than n.
 
-    The draw is a hash of the row key, so a recomputed task draws the same numbers.
+    The draw is the MD5 of seed and row key, so a recomputed task, or another engine, draws the same rows.
     """
-    drawn = df.withColumn("__draw", F.xxhash64(F.lit(seed), F.col(key)))
+    drawn = df.withColumn("__draw", F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("")))))
     return first_rows(drawn, ["__draw", key], n).drop("__draw")
 
 
@@ -129,7 +126,7 @@ def sample_systematic(df: DataFrame, order: list[str], n: int) -> DataFrame:
         step = total // n
         return (i % step == 0) & (i < step * n)
 
-    return rows_at(df, order, chosen, n)
+    return rows_at(df, order, chosen)
 
 
 def sample_head(df: DataFrame, order: list[str], n: int) -> DataFrame:

@@ -183,35 +183,53 @@ def upsert_robots(robots: DataFrame, updates: DataFrame) -> DataFrame:
         F.coalesce(F.col("u")[c], F.col(c)).alias(c) if c in fields else F.col(c) for c in robots.columns])
 
 
-def tags_per_reading(tags: DataFrame) -> DataFrame:
-    """data_id and the set of its tags, in the fixed tag order, comma separated.
+def tag_text(tags: F.Column) -> F.Column:
+    """A set of tags, comma separated: known ones in the fixed order, then any others by name."""
+    known = F.array(*[F.lit(t) for t in DATA_TAGS])
+    others = F.sort_array(F.array_except(tags, known))
+    return F.concat_ws(",", F.filter(known, lambda t: F.array_contains(tags, t)), others)
 
-    One flag per known tag, so a reading that is tagged over and over costs no more than one.
-    """
-    flags = [F.bool_or(F.col("tag") == t).alias(t) for t in DATA_TAGS]
-    return tags.groupBy("data_id").agg(*flags).select(
-        "data_id", F.concat_ws(",", *[F.when(F.col(t), t) for t in DATA_TAGS]).alias("tags"))
+
+def tags_per_reading(tags: DataFrame) -> DataFrame:
+    """data_id and the set of its tags as text. A reading that is tagged over and over costs no more than one."""
+    return tags.groupBy("data_id").agg(tag_text(F.array_compact(F.collect_set("tag"))).alias("tags"))
 
 
 def tagged(readings: DataFrame, tags: DataFrame) -> DataFrame:
     return readings.join(tags_per_reading(tags), "data_id", "left")
 
 
-def derived_tags(readings: DataFrame) -> DataFrame:
+def own_tags() -> F.Column:
     """Tags a reading earns by itself: raw always, anomaly when not normal, critical when very hot."""
-    kinds = F.array(
+    return F.array_compact(F.array(
         F.lit("raw"),
         F.when(F.col("status") != "NORMAL", "anomaly"),
-        F.when(F.col("temperature") > 100, "critical"))
-    return readings.select("data_id", F.explode(F.array_compact(kinds)).alias("tag"))
+        F.when(F.col("temperature") > 100, "critical")))
+
+
+def derived_tags(readings: DataFrame) -> DataFrame:
+    """The earned tags, one row each."""
+    return readings.select("data_id", F.explode(own_tags()).alias("tag"))
+
+
+def reading_tags(readings: DataFrame, attached: DataFrame | None = None) -> DataFrame:
+    """data_id and all its tags: earned ones from the row itself, and those of the table `attached` (data_id, tag).
+
+    Only the attached tags are grouped; without any the readings are not shuffled.
+    """
+    if attached is None:
+        return readings.select("data_id", tag_text(own_tags()).alias("tags"))
+    given = attached.groupBy("data_id").agg(F.collect_set("tag").alias("__tags"))
+    none = F.array().cast("array<string>")
+    return readings.join(given, "data_id", "left").select(
+        "data_id", tag_text(F.array_union(own_tags(), F.coalesce("__tags", none))).alias("tags"))
 
 
 def subscription_matches(readings: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """(subscription_id, data_id) for every reading a subscription covers.
 
-    A missing or empty list means all. Subscriptions that name robots join on the robot; the others
-    join on the sensor type, where "all types" is a value of its own. Both are equality joins, so Spark
-    may broadcast a small side and split a busy robot or type.
+    A missing or empty list means all. Subscriptions that name robots join on the robot, those that name only
+    types on the type. Those that name nothing are put beside each reading as a list, one row for the whole table.
     """
     def given(c):
         return F.coalesce(F.size(c) > 0, F.lit(False))
@@ -222,9 +240,13 @@ def subscription_matches(readings: DataFrame, subscriptions: DataFrame) -> DataF
     covered = ~given("sensor_types") | F.array_contains("sensor_types", F.col("sensor_type"))
     named = rows.join(by_robot, "robot_id").filter(covered)
 
-    any_type = F.array(F.lit("*"))
-    by_type = subscriptions.filter(~given("robot_ids")).select("subscription_id", F.explode(
-        F.when(given("sensor_types"), F.array_distinct("sensor_types")).otherwise(any_type)).alias("type_key"))
-    offered = rows.select("data_id", F.explode(F.array(F.col("sensor_type"), F.lit("*"))).alias("type_key"))
-    wide = offered.join(by_type, "type_key")
-    return named.select("subscription_id", "data_id").unionByName(wide.select("subscription_id", "data_id"))
+    unnamed = subscriptions.filter(~given("robot_ids"))
+    by_type = unnamed.filter(given("sensor_types")).select(
+        "subscription_id", F.explode(F.array_distinct("sensor_types")).alias("sensor_type"))
+    wide = rows.join(by_type, "sensor_type")
+    everything = unnamed.filter(~given("sensor_types")).agg(F.collect_list("subscription_id")).scalar()
+    catch_all = rows.select(F.explode(everything).alias("subscription_id"), "data_id")
+    out = named.select("subscription_id", "data_id")
+    for part in (wide, catch_all):
+        out = out.unionByName(part.select("subscription_id", "data_id"))
+    return out

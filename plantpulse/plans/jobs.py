@@ -9,16 +9,14 @@ from pyspark.sql import DataFrame, functions as F
 from plantpulse.functions.metrics import full_columns
 from plantpulse.functions.timefn import at, iso_week, truncated
 from plantpulse.plans.rollup import build_hourly
-from plantpulse.sinks.tables import overwrite_partitions
+from plantpulse.sinks.tables import gathered, overwrite_partitions
+from plantpulse.sources.tables import since_until
 
 
 def _day(readings: DataFrame, start: datetime, days: int) -> DataFrame:
     """Rows of whole days, the last one exclusive at midnight."""
     end = start + timedelta(days=days)
-    rows = readings.filter((F.col("event_time") >= at(start)) & (F.col("event_time") < at(end)))
-    if "dt" in readings.columns:
-        rows = rows.filter(F.col("dt").cast("string").between(f"{start:%Y-%m-%d}", f"{end - timedelta(days=1):%Y-%m-%d}"))
-    return rows
+    return since_until(readings, start=start, before=end)
 
 
 def daily_summary(readings: DataFrame, day: date | None = None) -> DataFrame:
@@ -58,11 +56,21 @@ def weekly_reports(readings: DataFrame) -> DataFrame:
 
 
 def run_daily(readings: DataFrame, day: date, target: str) -> None:
-    """Write the summary of one day; a second run replaces the day."""
-    overwrite_partitions(daily_summary(readings, day), target, ["dt"])
+    """Write the summary of one day; a second run replaces the day, also when nothing of it is left."""
+    _replace_day(daily_summary(readings, day), target, day)
 
 
 def run_hourly_rollup(readings: DataFrame, day: date, target: str) -> None:
     """Rebuild the rollup rows of one day."""
     rows = _day(readings, datetime.combine(day, time()), 1)
-    overwrite_partitions(build_hourly(rows), target, ["dt"])
+    _replace_day(build_hourly(rows), target, day)
+
+
+def _replace_day(rows: DataFrame, target: str, day: date) -> None:
+    """Write the folder of the day itself: a dynamic overwrite without rows would leave the old ones."""
+    gathered(rows.drop("dt")).write.mode("overwrite").parquet(f"{target}/dt={day:%Y-%m-%d}")
+
+
+def store_hourly_rollup(readings: DataFrame, target: str) -> None:
+    """Build the rollup of all days at once, partitioned by day."""
+    overwrite_partitions(build_hourly(readings), target, ["dt"])

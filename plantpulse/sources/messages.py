@@ -21,7 +21,8 @@ def to_events(readings: DataFrame, *metrics: str, keep_nulls: bool = False) -> D
 
 
 def to_readings(events: DataFrame, *more: str) -> DataFrame:
-    """Message form to wide rows; a metric the message lacks becomes NULL. `more` columns are kept."""
+    """Message form to wide rows; a metric the message lacks becomes NULL. `more` columns are kept, such as the
+    whole `metrics` map, which alone holds metrics without a column."""
     return events.select(
         "data_id", "event_time", "robot_id", "sensor_id", "sensor_type",
         *[metric_value("metrics", m).alias(m) for m in _METRIC_COLUMNS], "status", *more)

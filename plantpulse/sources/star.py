@@ -114,6 +114,13 @@ def command_events(spark: SparkSession, folder: str) -> DataFrame:
     return opened.unionByName(later)
 
 
+def status_history(spark: SparkSession, folder: str) -> DataFrame:
+    """State reports of robots over time with their battery level: one per event."""
+    return table(spark, folder, "events").selectExpr(
+        "CAST(event_id AS STRING) AS data_id", "ts AS event_time", f"{code('R', 'user_id', 6)} AS robot_id",
+        f"{_K} AS battery_level")
+
+
 def subscriptions(spark: SparkSession, folder: str) -> DataFrame:
     """Each owner follows its own robot (some one type only); each region follows one type everywhere."""
     own = table(spark, folder, "customer").selectExpr(

@@ -34,14 +34,25 @@ def read_jdbc(spark: SparkSession, url: str, table: str, *, key: str | None = No
 def in_time_range(df: DataFrame, start: datetime, end: datetime, time: str = "event_time") -> DataFrame:
     """Rows with start <= time <= end. On a table partitioned by `dt` (and `hr`) only the days (and,
     within one day, hours) in range are read: a predicate on the time alone would not prune partitions."""
-    kept = df.filter(F.col(time).between(at(start), at(end)))
+    kept = since_until(df, start, end, time)
     if "dt" in df.columns:
-        kept = kept.filter(F.col("dt").cast("string").between(f"{start:%Y-%m-%d}", f"{end:%Y-%m-%d}"))
         if "hr" in df.columns and start.date() == end.date():
             kept = kept.filter(F.col("hr").cast("int").between(start.hour, end.hour))
     return kept
 
 
+def since_until(df: DataFrame, start: datetime | None = None, end: datetime | None = None, time: str = "event_time",
+                before: datetime | None = None) -> DataFrame:
+    """Rows with start <= time <= end and time < before, each bound optional. With a `dt` column only its days are read."""
+    for bound, keeps, days in ((start, lambda c, b: c >= b, lambda c, b: c >= b), (end, lambda c, b: c <= b, lambda c, b: c <= b),
+                               (before, lambda c, b: c < b, lambda c, b: c <= b)):
+        if bound is not None:
+            df = df.filter(keeps(F.col(time), at(bound)))
+            if "dt" in df.columns:
+                df = df.filter(days(F.col("dt").cast("string"), F.lit(f"{bound:%Y-%m-%d}")))
+    return df
+
+
 def with_ids(df: DataFrame, column: str, ids, listed: int = 1000) -> DataFrame:
     """Optional IN filter: None or an empty list keeps every row.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, ty
 
 from plantpulse.functions.columns import share
 from plantpulse.functions.validate import stream_reason
-from plantpulse.schemas import READINGS
+from plantpulse.schemas import METRIC_MAP, READINGS
 from plantpulse.sinks.tables import gathered
 from plantpulse.sources.messages import parse_messages, to_readings
 
@@ -40,7 +40,7 @@ def ingest_writer(path: str):
         seen = Observation()
         ok = F.col("reason").isNull()
         rows = screened(batch).observe(seen, F.count("*").alias("rows"), F.count_if(~ok).alias("failed"))
-        wide = to_readings(rows, "raw", "reason")
+        wide = to_readings(rows, "metrics", "raw", "reason")
         split = wide.withColumns({
             "raw": F.when(~ok, F.col("raw")), "outcome": F.when(ok, "accepted").otherwise("rejected"),
             "dt": F.when(ok, F.date_format("event_time", "yyyy-MM-dd"))})
@@ -64,12 +64,14 @@ def start_ingest(messages: DataFrame, path: str, checkpoint: str, available_now:
 
 
 def _stored(spark: SparkSession, path: str, outcome: str) -> DataFrame:
-    schema = T.StructType([*READINGS.fields, *[T.StructField(n, T.StringType()) for n in ("raw", "reason", "outcome", "dt")]])
+    schema = T.StructType([*READINGS.fields, T.StructField("metrics", METRIC_MAP),
+                           *[T.StructField(n, T.StringType()) for n in ("raw", "reason", "outcome", "dt")]])
     return spark.read.schema(schema).parquet(f"{path}/rows").filter(F.col("outcome") == outcome)
 
 
-def ingested(spark: SparkSession, path: str) -> DataFrame:
-    return _stored(spark, path, "accepted").select(*READINGS.fieldNames())
+def ingested(spark: SparkSession, path: str, *more: str) -> DataFrame:
+    """Accepted readings; `more` may name `metrics`, the whole map of the message, and `dt`, which prunes folders."""
+    return _stored(spark, path, "accepted").select(*READINGS.fieldNames(), *more)
 
 
 def quarantine(spark: SparkSession, path: str) -> DataFrame:
