@@ -115,16 +115,21 @@ def assign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards:
         "part"), "nodes")
     hubs = line_hubs(docs, text)
     nodes = propagate(nodes, hubs, shards, quota * (1 + slack), rounds)
-    linked = hubs.select("grp").distinct().withColumn("linked", F.lit(True))
-    nodes = nodes.join(linked, "grp", "left").withColumn(
-        "loose", F.when(F.coalesce("linked", F.lit(False)) | (F.col("n") > 1), 0).otherwise(1)).select(
-        "node", "shard", "loose", F.col("n").alias("node_rows"))
+    # rows are given away in the order of a hub, so that its members leave together
+    anchors = hubs.groupBy("grp").agg(F.min("hub").alias("anchor"))
+    nodes = nodes.join(anchors, "grp", "left").withColumn(
+        "loose", F.when(F.col("anchor").isNotNull() | (F.col("n") > 1), 0).otherwise(1)).select(
+        "node", "shard", "loose", F.coalesce("anchor", "node").alias("anchor"), F.col("n").alias("node_rows"))
+    around = nodes.groupBy("anchor").agg(F.sum("node_rows").alias("anchor_rows"))
+    nodes = saved(nodes.join(around, "anchor"), "nodes")
     buckets = max(1, total // (shards * BUCKET_ROWS))
-    # nodes in hash order, the rows of a node next to each other; a large node has buckets of its own
+    # in the hash order of the hubs, the rows of a node next to each other; a large node or hub has several buckets
     labelled = saved(rows.join(nodes, "node").withColumns({
-        "b": F.pmod(F.xxhash64(F.lit(2), "node"), F.lit(buckets)),
+        "b": F.pmod(F.xxhash64(F.lit(2), "anchor"), F.lit(buckets)),
         "c": F.when(F.col("node_rows") > BUCKET_ROWS, F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.ceil(
-            F.col("node_rows") / F.lit(BUCKET_ROWS))) + 1).otherwise(F.lit(0)), "__tie": F.col("node")}), "labelled")
+            F.col("node_rows") / F.lit(BUCKET_ROWS))) + 1).when(
+            F.col("anchor_rows") > BUCKET_ROWS, -1 - F.pmod(F.xxhash64(F.lit(4), "node"), F.ceil(
+                F.col("anchor_rows") / F.lit(BUCKET_ROWS)))).otherwise(F.lit(0)), "__tie": F.struct("anchor", "node")}), "labelled")
     counts = {r["shard"]: r["n"] for r in labelled.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a row a shard
     plan = _plan(counts, total, shards)
     size, given, taken = (F.lit([p[k] for p in plan]) for k in range(3))
