@@ -7,12 +7,13 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plantpulse.functions.timefn import at
-from plantpulse.session import remove_path
+from plantpulse.session import folder_names, move_path, path_exists, remove_path
 from plantpulse.sinks.tables import checked_name
 from plantpulse.sources.tables import file_listing, since_until
 
 # Fixed value: days kept.
 RETENTION_DAYS = 90
+STAGED = "_staged_dt="
 
 
 def cutoff(now: datetime, days: int = RETENTION_DAYS) -> datetime:
@@ -27,25 +28,32 @@ def kept(readings: DataFrame, before: datetime) -> DataFrame:
 def delete_older(spark: SparkSession, path: str, before: datetime) -> None:
     """Delete rows older than the cutoff from a folder partitioned by `dt`.
 
-    Whole older days are removed as folders; only the day of the cutoff is rewritten.
+    Whole older days are removed as folders, found by listing. Only the day of the cutoff is rewritten: next to the
+    table first, then put in its place by a rename. A run that broke off in between is completed by the next one.
     """
+    recover_staged(spark, path)
     day = f"{before:%Y-%m-%d}"
-    table = spark.read.option("partitionOverwriteMode", "dynamic").parquet(path)
-    for (old,) in _days(table).filter(F.col("dt") < day).collect():
-        remove_path(spark, f"{path}/dt={old}")
-    edge = table.filter(F.col("dt").cast("string") == day)
-    if before > datetime(before.year, before.month, before.day) and not edge.isEmpty():
-        rows = kept(edge.drop("dt"), before)
-        staged = f"{path}/_staged_dt={day}"
-        rows.write.mode("overwrite").parquet(staged)
+    days = [n.removeprefix("dt=") for n in folder_names(spark, path) if n.startswith("dt=")]
+    for old in days:
+        if old < day:
+            remove_path(spark, f"{path}/dt={old}")
+    if before > datetime(before.year, before.month, before.day) and day in days:
+        staged = f"{path}/{STAGED}{day}"
+        kept(spark.read.parquet(f"{path}/dt={day}"), before).write.mode("overwrite").parquet(staged)
         remove_path(spark, f"{path}/dt={day}")
-        spark.read.parquet(staged).write.mode("overwrite").parquet(f"{path}/dt={day}")
-        remove_path(spark, staged)
-
-
-def _days(table: DataFrame) -> DataFrame:
-    """Partition values; Spark answers this from the folder listing. One row per day of the table."""
-    return table.select(F.col("dt").cast("string").alias("dt")).distinct()
+        move_path(spark, staged, f"{path}/dt={day}")
+
+
+def recover_staged(spark: SparkSession, path: str) -> None:
+    """Put a finished rewrite in its place if the old day is gone already; drop it otherwise."""
+    names = folder_names(spark, path)
+    for name in names:
+        if name.startswith(STAGED):
+            day = f"dt={name.removeprefix(STAGED)}"
+            if day not in names and path_exists(spark, f"{path}/{name}/_SUCCESS"):
+                move_path(spark, f"{path}/{name}", f"{path}/{day}")
+            else:
+                remove_path(spark, f"{path}/{name}")
 
 
 def expired_partitions(spark: SparkSession, table: str, before: datetime) -> DataFrame:

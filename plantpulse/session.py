@@ -74,6 +74,19 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly below a path, from the file system's listing: no data file is opened."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
+    return sorted(f.getPath().getName() for f in found if f.isDirectory())
+
+
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    if not path(source).getFileSystem(spark._jsc.hadoopConfiguration()).rename(path(source), path(target)):
+        raise OSError(f"cannot move {source} to {target}")
+
+
 def small(df, rows: int = 20_000):
     """Broadcast hint for a table that turns out to have at most `rows` rows; larger ones are left to
     the planner. For configuration tables whose size Spark cannot know, such as rules made in Python."""

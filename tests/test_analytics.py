@@ -138,3 +138,5 @@ def test_daily_job_can_be_rerun(spark, readings, folder):
         jobs.run_hourly_rollup(r, datetime(2024, 1, day).date(), folder + "/hourly")
     assert spark.read.parquet(folder + "/daily").count() == 2
     assert spark.read.parquet(folder + "/hourly").count() == 2
+    jobs.run_daily(r.filter("event_time < '2024-01-09'"), datetime(2024, 1, 9).date(), folder + "/daily")  # nothing left of the day
+    assert spark.read.parquet(folder + "/daily").count() == 1

@@ -117,7 +117,7 @@ def test_backup_round_trip(spark, sf, folder):
     split = datetime(2024, 1, 15)
     old = r.filter(F.col("event_time") <= F.lit(split))
     backup.full_backup(spark, {"readings": old, "robots": dims}, folder + "/full", split)
-    backup.incremental_backup(spark, {"readings": r}, folder + "/inc", split, NOW)
+    backup.incremental_backup(spark, {"readings": r}, folder + "/inc", split, NOW, [folder + "/full"])
     assert all(x.intact for x in backup.verify(spark, folder + "/full").collect())
     check = backup.restore(spark, "readings", folder + "/dry", folder + "/full", [folder + "/inc"], dry_run=True)
     assert check.count() == 2 and not glob.glob(folder + "/dry")
@@ -129,6 +129,57 @@ def test_backup_round_trip(spark, sf, folder):
     assert backup.same_content(spark.read.parquet(folder + "/back"), old)
 
 
+def test_late_rows_and_rows_without_time_are_saved(spark, readings, folder):
+    t = datetime(2024, 1, 5)
+    rows = readings({"event_time": t}, {"event_time": t + timedelta(1)}, {"event_time": None}, {"event_time": t - timedelta(9)},
+                    {"event_time": t + timedelta(9)}, {"data_id": None, "event_time": None})
+    backup.full_backup(spark, {"readings": rows.filter("data_id in ('d000', 'd001')")}, folder + "/full", t)
+    backup.incremental_backup(spark, {"readings": rows.filter("data_id <> 'd004'")}, folder + "/a", t, NOW, [folder + "/full"])
+    backup.incremental_backup(spark, {"readings": rows}, folder + "/b", t, NOW, [folder + "/full", folder + "/a"])
+    assert spark.read.parquet(folder + "/a/readings").count() == 2 and spark.read.parquet(folder + "/b/readings").count() == 2
+    assert backup.same_content(backup.restored(spark, "readings", folder + "/full", [folder + "/a", folder + "/b"]), rows)
+
+
+def test_digest_sees_every_change(readings):
+    one = readings(*[{"temperature": float(i), "data_id": f"x{i}"} for i in range(40)])
+    base = sorted(map(tuple, backup.digest_counts(one).collect()))
+    changed = one.withColumn("temperature", F.when(F.col("data_id") == "x7", 7.5).otherwise(F.col("temperature")))
+    moved = one.withColumns({"sensor_id": F.lit(None).cast("string"), "sensor_type": F.col("sensor_id")})
+    assert base != sorted(map(tuple, backup.digest_counts(changed).collect()))
+    a = one.withColumns({"sensor_id": F.lit("v"), "sensor_type": F.lit(None).cast("string")})
+    b = one.withColumns({"sensor_id": F.lit(None).cast("string"), "sensor_type": F.lit("v")})
+    assert sorted(map(tuple, backup.digest_counts(a).collect())) != sorted(map(tuple, backup.digest_counts(b).collect()))
+    assert moved.count() == 40
+
+
+def test_broken_off_retention_is_completed(spark, readings, folder):
+    rows = readings(*[{"event_time": datetime(2024, 1, d, h)} for d in (1, 2, 3) for h in (3, 15)])
+    tables.append_readings(rows, folder)
+    before = datetime(2024, 1, 2, 12)
+    edge = spark.read.parquet(folder + "/dt=2024-01-02")
+    retention.kept(edge, before).write.parquet(folder + "/_staged_dt=2024-01-02")
+    retention.remove_path(spark, folder + "/dt=2024-01-02")  # broke off before the rename
+    retention.delete_older(spark, folder, before)
+    assert sorted(r.event_time for r in spark.read.parquet(folder).collect()) == [
+        datetime(2024, 1, 2, 15), datetime(2024, 1, 3, 3), datetime(2024, 1, 3, 15)]
+    assert not glob.glob(folder + "/_staged*")
+
+
+def test_time_bounds_prune_days(spark, readings, folder):
+    from plantpulse.operators import monitoring
+    from plantpulse.plans import jobs, rollup
+    rows = readings(*[{"event_time": datetime(2024, 1, d, 3)} for d in (1, 2, 3)])
+    tables.append_readings(rows, folder + "/facts")
+    jobs.store_hourly_rollup(rows, folder + "/rollup")
+    facts, hourly = spark.read.parquet(folder + "/facts"), spark.read.parquet(folder + "/rollup")
+    for df in (monitoring.system_performance(facts, datetime(2024, 1, 4)), retention.kept(facts, datetime(2024, 1, 2)),
+               retention.cleanup_preview(facts, datetime(2024, 1, 2)), backup.incremental_delta(facts, datetime(2024, 1, 2)),
+               jobs.daily_summary(facts, datetime(2024, 1, 2).date()),
+               rollup.from_hourly(hourly, datetime(2024, 1, 2), datetime(2024, 1, 3), ["temperature"])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: []" not in plan and "PartitionFilters: [" in plan
+
+
 def test_damaged_backup_is_refused(spark, sf, folder):
     backup.full_backup(spark, {"readings": star.readings(spark, sf)}, folder, NOW)
     star.readings(spark, sf).withColumn("pressure", F.lit(1.0)).write.mode("overwrite").parquet(folder + "/readings")

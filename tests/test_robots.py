@@ -87,6 +87,16 @@ def test_tags(spark, readings):
     assert got == {"d000": "anomaly,critical,raw", "d001": "raw"}
 
 
+def test_unknown_tags_stay(spark, readings):
+    r = readings({"temperature": 150.0}, {}, {})
+    extra = spark.createDataFrame([("d000", "mine"), ("d000", "mine"), ("d000", "raw"), ("d001", "zeta"), ("d001", "batch"), ("d001", None)],
+                                  "data_id string, tag string")
+    got = {x.data_id: x.tags for x in robots.reading_tags(r, extra).collect()}
+    assert got == {"d000": "critical,raw,mine", "d001": "batch,raw,zeta", "d002": "raw"}
+    assert "Exchange" not in robots.reading_tags(r)._jdf.queryExecution().executedPlan().toString()
+    assert {x.data_id: x.tags for x in robots.tags_per_reading(extra).collect()} == {"d000": "raw,mine", "d001": "batch,zeta"}
+
+
 def test_subscriptions(spark, readings):
     r = readings({"robot_id": "R1", "sensor_type": "NOISE"}, {"robot_id": "R2", "sensor_type": "PRESSURE"})
     s = spark.createDataFrame([("all", "u", None, None), ("empty", "u", [], []), ("r1", "u", ["R1", "R1"], None), ("p", "u", None, ["PRESSURE"]),

@@ -50,6 +50,38 @@ def test_large_samples_number_the_rows(ten, monkeypatch):
     assert {(r.total, r.pages) for r in page} == {(10, 3)}
 
 
+@pytest.mark.parametrize("n,size", [(3, 2), (7, 3), (10, 4)])
+def test_one_answer_however_rows_are_found(readings, monkeypatch, n, size):
+    """NULL order columns and repeated rows: bounded sorts and numbered rows agree, and nothing is lost."""
+    r = readings(*[{"event_time": None if i % 3 == 0 else T0 + timedelta(minutes=i % 4), "data_id": None if i % 5 == 0 else f"d{i % 4}",
+                    "robot_id": f"R{i % 2}"} for i in range(12)])
+
+    def rows(df):
+        return [tuple(x) for x in df.select("event_time", "data_id", "robot_id").collect()]
+
+    found = []
+    for limit in (100, 0):
+        monkeypatch.setattr(raw, "HEAP_ROWS", limit)
+        pages = [sorted(map(str, rows(raw.page(r, ["event_time"], p, size, descending=p % 2 == 0)))) for p in range(1, 6)]
+        found.append((sorted(map(str, rows(raw.first_rows(r, ["event_time", "data_id"], n)))), pages,
+                      sorted(map(str, rows(raw.sample_random(r, n, seed=2)))), sorted(map(str, rows(raw.sample_head(r, ["event_time"], n))))))
+        assert len(found[-1][0]) == len(found[-1][2]) == n
+        walked = [x for p in range(1, 20) for x in rows(raw.page(r, ["event_time"], p, size))]
+        assert sorted(map(str, walked)) == sorted(map(str, rows(r)))
+    assert found[0] == found[1]
+    assert raw.sample_systematic(r, ["event_time"], 99).count() == 12
+
+
+def test_busy_keys_may_be_null_and_rows_without_time(spark):
+    df = spark.range(200).select(F.lit(None).cast("string").alias("k"), F.when(F.col("id") % 10 > 0, F.timestamp_seconds(F.col("id") * 60)).cast(
+        "timestamp_ntz").alias("t"), F.col("id").cast("string").alias("i"), (F.col("id") % 7 > 0).alias("inside"))
+    cut = ordered.with_chunk(df, ["k"], "t", 600, busy_rows=0)
+    assert cut.count() == 200 and cut.select(ordered.CHUNK).distinct().count() > 10 and cut.filter(F.col(ordered.CHUNK).isNull()).count() == 0
+    got = ordered.with_previous(df, ["k"], ["t", "i"], "i", "p", "t", 600, 0)
+    want = df.withColumn("p", F.lag("i").over(Window.partitionBy("k").orderBy("t", "i")))
+    assert got.exceptAll(want.select(got.columns)).count() == 0
+
+
 def test_page_past_the_end(readings):
     five = readings(*[{"event_time": T0 + timedelta(minutes=i)} for i in range(5)])
     assert raw.page(five, ["event_time", "data_id"], 9, 2).count() == 0
