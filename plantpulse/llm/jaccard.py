@@ -400,26 +400,32 @@ def _cut(members: DataFrame, sets: DataFrame, round_no: int, radius: float, pivo
     return links, kept.select(F.col("next").alias("region"), "node", "outer")
 
 
-def region_links(star: DataFrame, sets: DataFrame, radius: float = RADIUS, most_rows: int = REGION_ROWS,
+def region_links(star: DataFrame, sets: DataFrame, sizes: DataFrame, radius: float = RADIUS, most_rows: int = REGION_ROWS,
                  most_shingles: int = REGION_SHINGLES, pivots: int = PIVOTS) -> DataFrame:
-    """Links (a, b) that connect what the pairs within `radius` connect."""
+    """Links (a, b) that connect what the pairs within `radius` connect; sizes: (node, n) of every node in a star.
+
+    Sets are shuffled to their nodes once and go on from there; they are only written if large regions need them again.
+    """
     pivot_rows = star.select(F.col("pivot").alias("region"), F.col("pivot").alias("node")).distinct()
-    members = star.select(F.col("pivot").alias("region"), "node").unionByName(pivot_rows).withColumn("outer", F.lit(True))
-    sizes = sets.select("node", F.size("shingles").alias("n"))
+    members = saved(star.select(F.col("pivot").alias("region"), "node").unionByName(pivot_rows).withColumn(
+        "outer", F.lit(True)), "regions")
     links, round_no = [], 0
     while True:
-        members = saved(members, "regions") if round_no else members
-        weight = saved(members.join(sizes, "node").groupBy("region").agg(
-            F.count("*").alias("rows"), F.sum("n").alias("shingles")), "region-sizes")
+        weight = members.join(sizes, "node").groupBy("region").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
         is_large = (F.col("rows") > most_rows) | (F.col("shingles") > most_shingles)
-        large = weight.filter(is_large & (F.col("rows") > 2)).select("region")
-        rows = members.join(large, "region", "left_anti").join(sets, "node")
-        rows = rows.select("region", "node", "outer", "shingles").repartition("region").sortWithinPartitions("region")
+        large = saved(weight.filter(is_large & (F.col("rows") > 2)).select("region"), "large-regions")
+        done = large.isEmpty()
+        if not done and not round_no:
+            sets = saved(sets, "sets")
+        small = members if done else members.join(large, "region", "left_anti")
+        rows = small.join(sets, "node").select("region", "node", "outer", "shingles")
+        rows = rows.repartition("region").sortWithinPartitions("region")
         links.append(saved(rows.mapInArrow(lambda b: _join_small(b, radius), "a bigint, b bigint"), "links"))
-        if not large.head(1):
+        if done:
             break
         found, members = _cut(members.join(large, "region", "left_semi"), sets, round_no, radius, pivots)
         links.append(found)
+        members = saved(members, "regions")
         round_no += 1
     out = links[0]
     for more in links[1:]:
@@ -432,9 +438,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, n_shingles and component_id (least doc_id of the component) of every row."""
     lead = saved(leading(docs, doc_id, text, popularity(docs, text, width), width, radius), "leading")
     star = stars(lead)
-    wanted = saved(star.select("node").unionByName(star.select(F.col("pivot").alias("node"))).distinct(), "wanted")
-    sets = saved(sets_of(docs, text, wanted, width), "sets")
-    roots = components(region_links(star, sets, radius, **limits))
+    wanted = star.select("node").unionByName(star.select(F.col("pivot").alias("node"))).distinct()
+    sizes = saved(lead.filter("node IS NOT NULL").select("node", "n_shingles").join(wanted, "node", "left_semi").groupBy(
+        "node").agg(F.first("n_shingles").alias("n")), "wanted")
+    sets = sets_of(docs, text, sizes.select("node"), width)
+    roots = components(region_links(star, sets, sizes, radius, **limits))
     nodes = lead.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(
         roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
