@@ -383,6 +383,8 @@ def _telemetry_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "task_status_after": lambda s, d: robots.task_status(cmd(s, d), st(s, d)),
         "command_duration": lambda s, d: robots.command_durations(cmd(s, d)),
         "robot_latest_status": lambda s, d: robots.latest_status(r(s, d), NOW, 6 * 3600),
+        "robot_latest_status_all": lambda s, d: robots.latest_status(
+            r(s, d).filter("sensor_type = 'PRESSURE'"), NOW, 6 * 3600, star.dim_robot(s, d)),
         "robot_dim_upsert": q_robot_updates,
         "reading_tags": lambda s, d: robots.reading_tags(r(s, d)),
         "reading_tags_attached": lambda s, d: robots.reading_tags(r(s, d), r(s, d).filter(

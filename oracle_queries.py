@@ -387,6 +387,9 @@ SELECT s.robot_id, coalesce(after, task_status) AS task_status FROM robot_status
     "command_duration": _with(COMMANDS) + """SELECT command_id, date_sub('second', execute_time, complete_time) AS duration_seconds
 FROM commands WHERE complete_time IS NOT NULL""",
     "robot_latest_status": _with(READINGS) + _freshness(_LAST_BEAT),
+    "robot_latest_status_all": _with(READINGS, DIM_ROBOT) + _freshness(f"""SELECT coalesce(b.robot_id, d.robot_id) AS robot_id,
+  last_update_time, reported_status FROM ({_LAST_BEAT.replace('FROM readings', "FROM readings WHERE sensor_type = 'PRESSURE'")}) b
+  FULL JOIN (SELECT DISTINCT robot_id FROM dim_robot) d ON b.robot_id = d.robot_id"""),
     "robot_dim_upsert": _with(DIM_ROBOT, f"""updates AS (
   SELECT {_code('R', 'o_custkey', 6)} AS robot_id, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS status,
     'DOCK-' || substr(o_orderpriority, 1, 1) AS location, o_orderdate AS update_time FROM orders)""", """last AS (

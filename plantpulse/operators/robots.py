@@ -120,11 +120,14 @@ def command_durations(commands: DataFrame) -> DataFrame:
         "command_id", seconds_between("execute_time", "complete_time").alias("duration_seconds"))
 
 
-def latest_status(heartbeats: DataFrame, now: datetime, timeout_seconds: int = 30) -> DataFrame:
-    """Last heartbeat per robot; older than the timeout means OFFLINE."""
+def latest_status(heartbeats: DataFrame, now: datetime, timeout_seconds: int = 30, robots: DataFrame | None = None) -> DataFrame:
+    """Last heartbeat per robot; older than the timeout means OFFLINE. With a robot table its robots without any
+    heartbeat are OFFLINE too."""
     last = heartbeats.groupBy("robot_id").agg(
         F.max_by("status", F.struct("event_time", "data_id")).alias("reported_status"),
         F.max("event_time").alias("last_update_time"))
+    if robots is not None:
+        last = last.join(robots.select("robot_id").distinct(), "robot_id", "full")
     return with_freshness(last, now, timeout_seconds)
 
 

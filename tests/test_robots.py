@@ -70,6 +70,12 @@ def test_stale_status(spark):
     assert {r.robot_id: r.status for r in robots.latest_status(h, T0).collect()} == {"R1": "OFFLINE", "R2": "ONLINE"}
 
 
+def test_silent_robots_are_offline(spark):
+    h = spark.createDataFrame([("R1", "x", T0, "ONLINE")], "robot_id string, data_id string, event_time timestamp_ntz, status string")
+    known = spark.createDataFrame([("R1",), ("R9",)], "robot_id string")
+    assert {r.robot_id: r.status for r in robots.latest_status(h, T0, robots=known).collect()} == {"R1": "ONLINE", "R9": "OFFLINE"}
+
+
 def test_upsert(spark):
     dim = spark.createDataFrame([("R1", "one", 1, "A", T0), ("R2", "two", 1, "B", T0)],
                                 "robot_id string, robot_name string, status int, location string, update_time timestamp_ntz")
