@@ -10,7 +10,7 @@ Item windows are the stated query set: they are cut into blocks of at most `BLOC
 each block is broadcast, and documents are read once per block without any shuffle. Memory is bounded by the
 block, work grows with documents x blocks.
 
-Defined cases: a null or empty text has no words and no hits. An item without words has no window. An item shorter
+Defined cases: a null or empty text has no words and no hits. A null item id is an empty one. An item without words has no window. An item shorter
 than a window is one window of all its words. Repeated rows are judged alike, each on its own. An empty benchmark
 hits nothing. Input columns stay; a column that has the name of a result is replaced by it.
 """
@@ -67,7 +67,7 @@ def item_windows(items: DataFrame, item_id: str, text: str, window: int) -> Data
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out_items, pa.string()), pa.array(out_words, pa.list_(pa.int64()))], ["item", "words"])
 
-    slim = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text"))
+    slim = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text"))
     return slim.mapInArrow(cut, schema).distinct()
 
 

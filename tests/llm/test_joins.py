@@ -188,6 +188,11 @@ def test_decontamination_matches_brute_force(spark, block):
         assert sum(s.end - s.start for s in r.hit_spans) == r.n_hit
 
 
+def test_items_without_an_id(spark):
+    items = spark.createDataFrame([(None, "alpha beta"), (3, "alpha beta")], "item_id long, text string")
+    assert leaks.contamination(frame(spark, [(1, "x Alpha, beta")]), items).first().item_ids == ["", "3"]
+
+
 def test_decontamination_stage(spark, tmp_path):
     leak = " ".join(f"word{i}" for i in range(15))
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
