@@ -18,7 +18,7 @@ from plantpulse.plans import jobs, rollup, router  # noqa: E402
 from plantpulse.session import work_path  # noqa: E402
 from plantpulse.sinks import export, tables as sink_tables  # noqa: E402
 from plantpulse.sources import messages, star, streams  # noqa: E402
-from plantpulse.streaming import alerts as stream_alerts, ingest, status as stream_status  # noqa: E402
+from plantpulse.streaming import alerts as stream_alerts, compact, ingest, status as stream_status  # noqa: E402
 from oracle_queries import ORACLE  # noqa: E402
 
 # The training-data operators may be absent as a whole; any other import error is a fault.
@@ -129,6 +129,21 @@ def q_partitioned_write(spark, d):
         F.count("*").alias("n"), F.max("pressure").alias("max_pressure")))
 
 
+def q_stream_compacted(spark, d):
+    """Ingest to the end, compact the batches into hourly facts, read those."""
+    path = _ingested(spark, d)
+    compact.compact(spark, path)
+    return rounded(compact.facts(spark, path).select("data_id", "event_time", "robot_id", "dt", "hr", "pressure"))
+
+
+def q_bucketed_read(spark, d):
+    """The bucketed history table read as a table: grouping by robot needs no shuffle."""
+    path = work_path(spark, "bucketed")
+    name = "fact_" + path.rsplit("-", 1)[1]
+    sink_tables.save_fact_table(star.readings(spark, d), name, strategy="DAILY", buckets=4, path=path)
+    return rounded(spark.table(name).groupBy("robot_id").agg(F.count("*").alias("n"), F.max("pressure").alias("max_pressure")))
+
+
 def q_compress_rewrite(spark, d):
     """Write by day, rewrite all days with another codec, read the rewritten table."""
     path = work_path(spark, "compress")
@@ -417,13 +432,14 @@ def _telemetry_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "incremental_delta": lambda s, d: backup.incremental_delta(r(s, d), datetime(2024, 1, 20)).select("data_id", "event_time"),
         "table_checksum": lambda s, d: backup.digest_counts(r(s, d)),
         "backup_restore": q_backup_restore,
-        "partitioned_write": q_partitioned_write,
+        "partitioned_write": q_partitioned_write, "bucketed_read": q_bucketed_read,
         "compress_rewrite": q_compress_rewrite,
         # streams, run to the end of the files that are there
         "stream_ingest": lambda s, d: rounded(ingest.ingested(s, _ingested(s, d)).select(
             "data_id", "event_time", "robot_id", "sensor_type", "temperature", "humidity", "pressure")),
         "stream_ingest_metrics": lambda s, d: rounded(ingest.ingested(s, _ingested(s, d), "metrics").select(
             "data_id", F.explode("metrics").alias("metric", "value"))),
+        "stream_compacted": q_stream_compacted,
         "stream_quarantine": lambda s, d: ingest.quarantine(s, _ingested(s, d)).groupBy("reason").agg(F.count("*").alias("n")),
         "stream_stats": lambda s, d: rounded(ingest.processing_stats(s, _ingested(s, d)).select(
             "total_processed", "total_errors", "success_rate")),

@@ -491,6 +491,9 @@ SELECT substr(row, 1, 1) AS digit, count(*) AS row_count,
   robot_id, {_r('pressure', 'pressure')} FROM readings""",
     "partitioned_write": _with(READINGS) + f"""SELECT strftime(event_time, '%Y-%m-%d') AS dt, robot_id, count(*) AS n, {_r('max(pressure)', 'max_pressure')}
 FROM readings GROUP BY 1, 2""",
+    "bucketed_read": _with(READINGS) + f"SELECT robot_id, count(*) AS n, {_r('max(pressure)', 'max_pressure')} FROM readings GROUP BY robot_id",
+    "stream_compacted": _with(READINGS) + f"""SELECT data_id, event_time, robot_id, strftime(event_time, '%Y-%m-%d') AS dt,
+  strftime(event_time, '%H') AS hr, {_r('pressure', 'pressure')} FROM readings WHERE status = 'NORMAL' AND ({_REASON}) IS NULL""",
     "compress_rewrite": _with(READINGS) + f"""SELECT data_id, robot_id, strftime(event_time, '%Y-%m-%d') AS dt, {_r('pressure', 'pressure')} FROM readings""",
     "stream_ingest": _with(READINGS) + f"""SELECT data_id, event_time, robot_id, sensor_type, {_r('temperature', 'temperature')},
   {_r('humidity', 'humidity')}, {_r('pressure', 'pressure')} FROM readings WHERE status = 'NORMAL' AND ({_REASON}) IS NULL""",

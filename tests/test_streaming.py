@@ -166,3 +166,30 @@ def test_stream_failure_is_reported(spark, folder, readings):
 
     with pytest.raises(Exception, match="sink down"):
         ingest.run_to_end(live.writeStream.foreachBatch(fail).option("checkpointLocation", folder + "/mark"))
+
+
+def test_compaction_survives_a_break(spark, sf, folder):
+    from plantpulse.session import move_path, path_exists
+    from plantpulse.streaming import compact
+    from __spark_entry__ import _message_stream
+
+    query = ingest.start_ingest(_message_stream(spark, sf), folder, f"{folder}/checkpoint", available_now=True)
+    query.awaitTermination()
+    want = sorted(r.data_id for r in ingest.ingested(spark, folder).collect())
+    bad = ingest.quarantine(spark, folder).count()
+    stored = f"{folder}/rows/batch_id=0/outcome=accepted"
+    move_path(spark, stored, f"{folder}/kept")
+    move_path(spark, f"{folder}/kept", stored)
+    assert compact.compact(spark, folder) == 1 and not path_exists(spark, stored)
+    assert sorted(r.data_id for r in compact.facts(spark, folder).collect()) == want
+    spark.createDataFrame([], ingest.READINGS).write.parquet(stored)  # as if the removal had not happened
+    assert compact.compact(spark, folder) == 0 and not path_exists(spark, stored)
+    assert sorted(r.data_id for r in compact.facts(spark, folder).collect()) == want
+    assert ingest.quarantine(spark, folder).count() == bad
+
+
+def test_bucketed_read_has_no_shuffle(spark, sf):
+    from __spark_entry__ import queries
+
+    plan = queries()["bucketed_read"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
