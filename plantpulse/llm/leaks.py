@@ -17,7 +17,6 @@ hits nothing. Input columns stay; a column that has the name of a result is repl
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 

@@ -29,10 +29,6 @@ LEAST_CHARS = 24
 BUCKET_ROWS = 5_000
 
 
-def _slot_of(seed: int, shards: int, *columns: str) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(shards)).cast("int")
-
-
 def line_hubs(docs: DataFrame, text: str) -> DataFrame:
     """(grp, hub): lines that stand in at least two different texts, once for each text."""
     line = F.btrim(F.col("line"), F.lit(SPACE))
