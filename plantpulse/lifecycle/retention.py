@@ -6,7 +6,6 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plantpulse.functions.timefn import at
 from plantpulse.session import folder_names, move_path, path_exists, remove_path
 from plantpulse.sinks.tables import checked_name
 from plantpulse.sources.tables import file_listing, since_until

@@ -12,14 +12,6 @@ from plantpulse.schemas import READINGS
 BROADCAST_IDS = 100_000
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
-def read_orc(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.orc(path)
-
-
 def read_jdbc(spark: SparkSession, url: str, table: str, *, key: str | None = None,
               lower: str | None = None, upper: str | None = None, partitions: int = 16,
               **options: str) -> DataFrame:
@@ -84,8 +76,3 @@ def file_listing(spark: SparkSession, path: str, pattern: str | None = None) ->
         reader = reader.option("pathGlobFilter", pattern)
     return reader.load(path).select(
         "path", F.col("modificationTime").cast("timestamp_ntz").alias("modified"), F.col("length").alias("bytes"))
-
-
-def latest_hour_partition(df: DataFrame) -> DataFrame:
-    """dt and hr of the newest partition, one row."""
-    return df.agg(F.max(F.struct("dt", "hr")).alias("p")).select("p.*")

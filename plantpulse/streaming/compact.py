@@ -7,7 +7,7 @@ replaces its own output, and batches that an earlier run has already stored are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from plantpulse.schemas import METRIC_MAP, READINGS
 from plantpulse.session import folder_names, path_exists, remove_path
