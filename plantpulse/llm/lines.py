@@ -5,8 +5,11 @@ The spread is first estimated: one HyperLogLog sketch of sites per line hash, me
 line in a third of all documents costs one sketch per task. Only lines whose estimate lies within `margin` of the
 threshold are counted exactly. All steps are DataFrame functions.
 
-Documents that would lose more than `most_removed` of the characters of their lines stay as they are: they are
-copies of one text on many sites, which near-duplicate detection must decide, not pages with repeated furniture.
+A document that would lose more than half of the characters of its lines stays as it is if it is shown to be a copy:
+its near copies (five-word Jaccard of at least 3/4, itself included) stand on `min_sites` sites by themselves, so that
+its lines are spread by copying, which near-duplicate detection must decide. All others lose their spread lines,
+whatever share that is. Near copies are looked for among such documents alone: each is compared in full with the pivots
+of its least shingles, a pivot being one text for each shingle, so a group of copies costs no pairs.
 
 Defined cases: lines are compared without surrounding ASCII white space; lines without a word are never removed.
 A null site counts for no site. A null text stays null and has no lines. Repeated rows are treated alike, each on
@@ -17,13 +20,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plantpulse.llm.common import SPACE, saved
+from plantpulse.llm.common import SPACE, saved, word_array
 
 MIN_SITES = 8
 LG_K = 12
 # Over three standard errors of a sketch with 2^12 registers.
 MARGIN = 0.06
 MOST_REMOVED = 0.5
+# As in the Jaccard join that follows in the pipeline.
+WIDTH, LEAST_JACCARD = 5, 0.75
+# Pivots that a text is compared with; near copies that share none of so many least shingles are one in 4^8.
+PIVOTS = 8
 
 
 def _normal(line: Column) -> Column:
@@ -55,19 +62,58 @@ def spread_lines(df: DataFrame, text: str = "text", site: str = "source", min_si
     return saved(sure.unionByName(exact.filter(F.col("sites") >= min_sites).select("line")), "boilerplate")
 
 
-def remove_lines(df: DataFrame, lines: DataFrame, text: str = "text", most_removed: float = MOST_REMOVED) -> DataFrame:
-    """The input without the given lines, plus n_lines, n_removed and `copied` (kept whole because too much would go).
+def _shingles(text: Column) -> Column:
+    """The hashes of all runs of WIDTH words, sorted; a shorter text is one run."""
+    words = word_array(text)
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - F.lit(WIDTH - 1), F.lit(1)))
+    return F.array_sort(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WIDTH)))))
+
+
+def copied_texts(rows: DataFrame, text: str, site: str, min_sites: int) -> DataFrame:
+    """(__a, __b) of the texts of `rows` whose near copies among them stand on at least `min_sites` sites."""
+    rows = rows.select("__a", "__b", F.xxhash64("__a", "__b").alias("node"), F.col(text).alias("text"),
+                       F.col(site).alias("site"))
+    stands = saved(rows.filter("site IS NOT NULL").select("node", "site").distinct(), "copy-sites")
+    sets = saved(rows.groupBy("__a", "__b", "node").agg(F.first("text").alias("text")).select(
+        "__a", "__b", "node", _shingles(F.col("text")).alias("shingles")), "copy-sets")
+    least = sets.select("node", F.explode(F.slice("shingles", 1, PIVOTS)).alias("shingle"))
+    pivots = least.groupBy("shingle").agg(F.min_by("node", F.xxhash64("shingle", "node")).alias("pivot"))
+    pairs = saved(least.join(pivots, "shingle").select("node", "pivot").filter("node <> pivot").distinct(), "copy-pairs")
+    other = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("others"))
+    both = F.size(F.array_intersect("shingles", "others"))
+    near = pairs.join(sets.select("node", "shingles"), "node").join(other, "pivot").filter(
+        both >= F.lit(LEAST_JACCARD) * (F.size("shingles") + F.size("others") - both)).select("node", "pivot")
+    near = saved(near.unionByName(sets.select("node", F.col("node").alias("pivot"))), "copy-links")
+    wide = near.join(stands, "node").groupBy("pivot").agg(F.countDistinct("site").alias("sites")).filter(
+        F.col("sites") >= min_sites).select("pivot")
+    return sets.select("__a", "__b", "node").join(near.join(wide, "pivot", "left_semi"), "node", "left_semi").drop("node")
+
+
+def remove_lines(df: DataFrame, lines: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES,
+                 most_removed: float | None = None) -> DataFrame:
+    """The input without the given lines, plus n_lines, n_removed and `copied` (kept whole).
+
+    With `most_removed`, a document that would lose more than this share is kept whole without further evidence.
 
     Only hashes are shuffled to find the lines; each text then meets its own short list of hits. Texts are known
     by two hashes, so null and repeated ids need no care, and a text that is copied often is one entry.
     """
     keyed = df.withColumns({"__a": F.xxhash64(text), "__b": F.hash(F.lit(7), F.col(text))})
+    raw = F.split(F.col(text), "\n")
     # written, so that the join below has a plain side that Spark may broadcast, and a copied text's rows be split
-    found = saved(
-        keyed.select("__a", "__b", F.explode(F.array_distinct(F.transform(
-            F.split(F.col(text), "\n"), lambda x: _line_hash(x)))).alias("line"))
-        .join(lines, "line", "left_semi")
-        .groupBy("__a", "__b").agg(F.collect_set("line").alias("__hits")), "line-hits")
+    hits = (keyed.select("__a", "__b", F.length(F.array_join(raw, "")).alias("whole"), F.posexplode(raw).alias("pos", "raw"))
+            .select("__a", "__b", "whole", "pos", F.length("raw").alias("chars"), _line_hash(F.col("raw")).alias("line"))
+            .join(lines, "line", "left_semi")
+            .groupBy("__a", "__b").agg(F.max("whole").alias("whole"), F.collect_set(F.struct("pos", "chars", "line")).alias("at")))
+    gone = F.aggregate("at", F.lit(0), lambda n, x: n + x["chars"])
+    share = MOST_REMOVED if most_removed is None else most_removed
+    found = saved(hits.select("__a", "__b", F.array_distinct(F.transform("at", lambda x: x["line"])).alias("__hits"),
+                              (gone > F.lit(share) * F.col("whole")).alias("__copied")), "line-hits")
+    if most_removed is None:
+        asked = keyed.join(found.filter("__copied").select("__a", "__b"), ["__a", "__b"], "left_semi")
+        copies = saved(copied_texts(asked, text, site, min_sites), "copies").withColumn("__is", F.lit(True))
+        found = saved(found.drop("__copied").join(copies, ["__a", "__b"], "left").select(
+            "__a", "__b", "__hits", F.coalesce("__is", F.lit(False)).alias("__copied")), "line-hits")
     out = keyed.join(found, ["__a", "__b"], "left").withColumn("__lines", F.split(F.col(text), "\n"))
     hit = F.coalesce(F.col("__hits"), F.array().cast("array<bigint>"))
 
@@ -76,21 +122,19 @@ def remove_lines(df: DataFrame, lines: DataFrame, text: str = "text", most_remov
 
     out = out.withColumn("__kept", F.when(F.size(hit) == 0, F.col("__lines")).otherwise(
         F.filter("__lines", lambda x: ~is_hit(x))))
-    whole, left = F.length(F.array_join("__lines", "")), F.length(F.array_join("__kept", ""))
-    copied = F.coalesce((whole - left) > F.lit(most_removed) * whole, F.lit(False))
     n_lines = F.coalesce(F.size(F.filter("__lines", lambda x: _line_hash(x).isNotNull())), F.lit(0))
-    out = out.withColumn("copied", copied)
+    out = out.withColumn("copied", F.coalesce("__copied", F.lit(False)))
     return out.withColumns({
         "n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(n_lines).cast("bigint"),
         "n_removed": F.when(F.col("copied") | F.col(text).isNull(), F.lit(0)).otherwise(
             F.size("__lines") - F.size("__kept")).cast("bigint"),
         text: F.when(F.col("copied") | (F.size(hit) == 0), F.col(text)).otherwise(F.array_join("__kept", "\n")),
-    }).drop("__a", "__b", "__hits", "__lines", "__kept")
+    }).drop("__a", "__b", "__hits", "__copied", "__lines", "__kept")
 
 
 def dedup_lines(df: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES,
-                margin: float = MARGIN, most_removed: float = MOST_REMOVED) -> DataFrame:
-    return remove_lines(df, spread_lines(df, text, site, min_sites, margin), text, most_removed)
+                margin: float = MARGIN, most_removed: float | None = None) -> DataFrame:
+    return remove_lines(df, spread_lines(df, text, site, min_sites, margin), text, site, min_sites, most_removed)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -99,8 +143,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def query(spark, folder: str) -> DataFrame:
+    """With the rule of its SQL, which keeps by the removed share alone; the pipeline's stage asks for evidence."""
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source")
-    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "copied", F.md5("text").alias("text_md5"))
+    return dedup_lines(docs, most_removed=MOST_REMOVED).select("doc_id", "n_lines", "n_removed", "copied", F.md5("text").alias("text_md5"))
 
 
 _TRIM = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

@@ -104,6 +104,24 @@ def test_line_spread_with_a_coarse_sketch_is_exact(spark):
     assert {r.line for r in out.collect()} == want
 
 
+def test_only_shown_copies_keep_spread_lines(spark):
+    long = [f"furniture line {k} is rather longer than whatever the page itself says" for k in range(2)]
+    rows = [(i, f"{long[i % 2]}\nmine{i} own{i} words{i} here{i}", f"s{i}") for i in range(20)]
+    rows += [(50, "twice over\n" + long[0], "s1"), (51, "twice over\n" + long[0], "s2")]
+    body = [" ".join(f"w{k}_{j}" for j in range(12)) for k in range(12)]
+    rows += [(100 + i, "\n".join(b + (f" edit{i}" if k == i else "") for k, b in enumerate(body)), f"s{i}") for i in range(12)]
+    of = by_id(lines.dedup_lines(docs(spark, rows, "doc_id long, text string, source string")))
+    assert all(of[i].text == f"mine{i} own{i} words{i} here{i}" and of[i].n_removed == 1 and not of[i].copied for i in range(20))
+    assert of[50].text == of[51].text == "twice over"
+    assert all(of[100 + i].copied and of[100 + i].text == rows[22 + i][1] for i in range(12))
+
+
+def test_stage_strips_pages_that_are_mostly_furniture(spark):
+    rows = [(i, f"a line that many sites have in common\nown {i}", f"s{i}") for i in range(10)]
+    got = lines.stage(spark, docs(spark, rows, "doc_id long, text string, source string"), "")
+    assert {r.doc_id: r.text for r in got.collect()} == {i: f"own {i}" for i in range(10)}
+
+
 def test_lines_of_empty_table(spark):
     assert lines.dedup_lines(docs(spark, [], "doc_id long, text string, source string")).count() == 0
 
