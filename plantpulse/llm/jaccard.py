@@ -455,10 +455,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the least id; a repeated row stays once.
 
-    A document without an id is known by its text for this purpose.
+    A document is known by its id and its text, so rows of one id with unlike texts are documents of their own. Those
+    without an id come last, in the order of their texts' hashes.
     """
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("__text"),
-                      F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("__id"))
+    known = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"),
+                     F.col("text").isNull().alias("no_text"), F.xxhash64("text").alias("a"), F.hash(F.lit(7), "text").alias("b"))
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("__text"), known.alias("__id"))
     found = near_duplicates(own, "__id", "__text")
     keep = saved(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(
         F.count("*").alias("__n")), "kept-ids")

@@ -114,6 +114,13 @@ def test_stage_keeps_one_of_each_group(spark):
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [3, 7, 8, 9]
 
 
+def test_stage_tells_rows_of_one_id_apart(spark):
+    a, b, c = (" ".join(f"{w}{k}" for k in range(20)) for w in "abc")
+    rows = [(1, a), (1, b), (1, b), (42, c), (None, None), (None, None), (2, a)]
+    got = sorted(map(tuple, jaccard.stage(spark, frame(spark, rows), "").collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (42, c), (None, None)], key=str)
+
+
 def test_empty_tables(spark):
     assert jaccard.near_duplicates(frame(spark, [])).count() == 0
     items = spark.createDataFrame([], "item_id long, text string")
