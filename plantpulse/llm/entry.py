@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plantpulse.llm import bestfit, jaccard, leaks, lines, private, quality, shards, threads, tokenrows, urls
+from plantpulse.llm import bestfit, jaccard, leaks, lines, merkle, private, quality, shards, threads, tokenrows, urls
 
 QUERIES = {
     "op1_private_data": private.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": lines.query,
     "op9_label_shards": shards.query,
     "op10_token_rows": tokenrows.query,
+    "op11_merkle_manifest": merkle.query,
 }
 ORACLES = {
     "op2_url_filter": urls.ORACLE,
@@ -22,4 +23,5 @@ ORACLES = {
     "op4_quote_threads": threads.ORACLE,
     "op7_decontamination": leaks.ORACLE,
     "op8_line_dedup": lines.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }
