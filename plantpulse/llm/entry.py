@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plantpulse.llm import bestfit, jaccard, leaks, lines, merkle, private, quality, shards, threads, tokenrows, urls
+from plantpulse.llm import bestfit, jaccard, leaks, lines, merkle, private, quality, shards, threads, tokenrows, trie, urls
 
 QUERIES = {
     "op1_private_data": private.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_label_shards": shards.query,
     "op10_token_rows": tokenrows.query,
     "op11_merkle_manifest": merkle.query,
+    "op12_prefix_trie": trie.query,
 }
 ORACLES = {
     "op2_url_filter": urls.ORACLE,
@@ -24,4 +25,5 @@ ORACLES = {
     "op7_decontamination": leaks.ORACLE,
     "op8_line_dedup": lines.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op12_prefix_trie": trie.ORACLE,
 }
