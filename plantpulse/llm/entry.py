@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plantpulse.llm import bestfit, jaccard, leaks, lines, merkle, private, quality, shards, threads, tokenrows, trie, urls
+from plantpulse.llm import balltree, bestfit, jaccard, leaks, lines, merkle, private, quality, shards, threads, tokenrows, trie, urls
 
 QUERIES = {
     "op1_private_data": private.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_token_rows": tokenrows.query,
     "op11_merkle_manifest": merkle.query,
     "op12_prefix_trie": trie.query,
+    "op13_ball_tree": balltree.query,
 }
 ORACLES = {
     "op2_url_filter": urls.ORACLE,
@@ -26,4 +27,5 @@ ORACLES = {
     "op8_line_dedup": lines.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
     "op12_prefix_trie": trie.ORACLE,
+    "op13_ball_tree": balltree.ORACLE,
 }
