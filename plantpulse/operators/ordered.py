@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plantpulse.functions.timefn import epoch_seconds
+from plantpulse.operators.positions import picked
 from plantpulse.session import pin
 
 CHUNK = "__chunk"
@@ -123,10 +124,13 @@ def total_order(df: DataFrame, order: list[str], descending: bool = False) -> li
     return [F.col(c).desc() if descending else F.col(c).asc() for c in order] + [tie]
 
 
-def rows_at(df: DataFrame, order: list[str], chosen, descending: bool = False) -> DataFrame:
-    """Rows whose position in the total order satisfies `chosen(index_column, total)`.
+def rows_at(df: DataFrame, order: list[str], ranges, descending: bool = False) -> tuple[DataFrame, int]:
+    """(rows, number of all rows): the rows whose position in the total order lies in one of `ranges(total)`, in order.
 
-    The numbered rows themselves are returned, so nothing is looked up again by columns that may be NULL or repeat.
+    The rows themselves are returned, so nothing is looked up again by columns that may be NULL or repeat. Only
+    the order columns of the whole table are read; see `positions`. A hash over all columns is added where
+    rows tie, so that the answer has one meaning.
     """
-    numbered, total = with_row_index(df, total_order(df, order, descending), "__row_index")
-    return numbered.filter(chosen(F.col("__row_index"), total)).drop("__row_index")
+    tie = F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))])
+    rows, total = picked(df.withColumn("__tie", tie), order, ranges, "__tie", descending)
+    return rows.orderBy(*[F.col(c).desc() if descending else F.col(c).asc() for c in order], "__tie").drop("__tie"), total

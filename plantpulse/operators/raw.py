@@ -6,7 +6,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from plantpulse.operators.ordered import rows_at, total_order
+from plantpulse.operators.ordered import rows_at, total_order, with_row_index
+from plantpulse.operators.positions import MOST_RANGES
 from plantpulse.sources.tables import in_time_range, with_ids
 
 # Up to this many leading rows Spark keeps a bounded heap per task; beyond, rows are numbered. Both ways sort by the
@@ -24,7 +25,7 @@ def first_rows(df: DataFrame, order: list[str], n: int, descending: bool = False
     """The first n rows of an order; NULLs and repeated keys have their fixed place."""
     if n <= HEAP_ROWS:
         return df.orderBy(*total_order(df, order, descending)).limit(n)
-    return rows_at(df, order, lambda i, _: i < n, descending)
+    return rows_at(df, order, lambda _: [(0, n - 1)], descending)[0]
 
 
 def time_range(readings: DataFrame, start: datetime, end: datetime, robot_ids=None, sensor_types=None,
@@ -40,26 +41,25 @@ def page(df: DataFrame, order: list[str], number: int, size: int, first_page: in
     """One page plus the columns `total` and `pages`; past the end it has no rows.
 
     Early pages come from a bounded sort. Deep ones would make every task keep all rows up to the
-    offset, so there the rows are numbered instead and the page is picked by position: the same rows.
+    offset, so there ranges of the order are counted and the page is picked by position: the same rows.
     """
     skip = (number - first_page) * size
     if skip + size > HEAP_ROWS:
         return page_by_position(df, order, number, size, first_page, descending)
     rows = df.orderBy(*total_order(df, order, descending)).offset(skip).limit(size)
-    return _with_totals(rows, df, size)
+    return _with_totals(rows, df.agg(F.count("*")).scalar(), size)
 
 
 def page_by_position(df: DataFrame, order: list[str], number: int, size: int, first_page: int = 1,
                      descending: bool = False) -> DataFrame:
-    """The same page, found by numbering the rows; its cost does not grow with the offset."""
+    """The same page, found by counting ranges of the order; its cost does not grow with the offset."""
     skip = (number - first_page) * size
-    rows = rows_at(df, order, lambda i, _: i.between(skip, skip + size - 1), descending)
-    return _with_totals(rows, df, size)
+    rows, total = rows_at(df, order, lambda _: [(skip, skip + size - 1)], descending)
+    return _with_totals(rows, F.lit(total), size)
 
 
-def _with_totals(rows: DataFrame, df: DataFrame, size: int) -> DataFrame:
-    count = df.agg(F.count("*")).scalar()
-    return rows.withColumn("total", count).withColumn(
+def _with_totals(rows: DataFrame, count, size: int) -> DataFrame:
+    return rows.withColumn("total", count.cast("bigint")).withColumn(
         "pages", F.ceil(F.col("total") / F.lit(size)).cast("bigint"))
 
 
@@ -120,13 +120,15 @@ def sample_random(df: DataFrame, n: int, seed: int = 0, key: str = "data_id") ->
 def sample_systematic(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """Every step-th row, step = floor(total / n), until n rows; all rows when there are no more than n."""
 
-    def chosen(i, total):
-        if total <= n:
-            return F.lit(True)
-        step = total // n
-        return (i % step == 0) & (i < step * n)
+    def chosen(total):
+        step = total // n if total > n else 1
+        return [(i * step, i * step) for i in range(min(n, total))]
 
-    return rows_at(df, order, chosen)
+    if n > MOST_RANGES:
+        numbered, total = with_row_index(df, total_order(df, order), "__at")
+        step = total // n if total > n else 1
+        return numbered.filter((F.col("__at") % step == 0) & (F.col("__at") < step * n)).drop("__at")
+    return rows_at(df, order, chosen)[0]
 
 
 def sample_head(df: DataFrame, order: list[str], n: int) -> DataFrame:

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import Window, functions as F
 
-from plantpulse.operators import ordered, raw
+from plantpulse.operators import ordered, positions, raw
 from plantpulse.sources import star, tables
 
 T0 = datetime(2024, 1, 5, 10)
@@ -189,3 +189,36 @@ def test_robot_sensor_latest(spark, sf):
     out = raw.robot_sensor_latest(star.robot_status(spark, sf), star.dim_robot(spark, sf), star.readings(spark, sf), star.dim_sensor(spark, sf))
     assert out.count() == star.readings(spark, sf).select("robot_id").distinct().count()
     assert out.filter("location is null or sensor_name is null").count() == 0
+
+
+def _placed(rows, order, descending=False):
+    """Rows in the order that pages and samples use, ties apart; NULL first, or last when descending."""
+    return sorted(rows, key=lambda r: tuple((r[c] is not None, r[c] if r[c] is not None else 0) for c in order), reverse=descending)
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("range_rows", [positions.RANGE_ROWS, 40])
+def test_positions_equal_a_full_sort(spark, descending, range_rows):
+    rows = [(i % 7 if i % 3 else None, float((i * 37) % 200 if i % 11 else 5), i) for i in range(900)] + [(3, 5.0, 2000)] * 60
+    df = spark.createDataFrame(rows, "a int, b double, c bigint").withColumn("h", F.xxhash64("a", "b", "c"))
+    asked = [(0, 3), (100, 120), (333, 333), (700, 760), (950, 2000)]
+    found, total = positions.picked(df, ["a", "b", "c"], lambda n: asked, "h", descending, range_rows)
+    want = _placed(rows_of := [dict(zip("abc", r)) for r in rows], "abc", descending)
+    want = [want[i] for low, high in asked for i in range(low, min(high + 1, len(rows)))]
+    assert total == len(rows_of)
+    assert sorted(map(repr, (r.asDict() for r in found.drop("h").collect()))) == sorted(map(repr, want))
+
+
+def test_positions_of_text_and_of_nothing(spark):
+    df = spark.createDataFrame([(f"é{i % 50:03d}", i) for i in range(500)], "a string, b int").withColumn("h", F.xxhash64("a", "b"))
+    found, total = positions.picked(df, ["a", "b"], lambda n: [(n - 2, n - 1)], "h")
+    assert total == 500 and sorted(map(tuple, found.select("a", "b").collect())) == [("é049", 449), ("é049", 499)]
+    assert positions.picked(df.limit(0), ["a"], lambda n: [(0, 5)], "h")[0].collect() == []
+
+
+def test_a_page_sorts_only_its_range(spark):
+    df = spark.range(20_000).withColumn("h", F.xxhash64("id"))
+    found, _ = positions.picked(df, ["id"], lambda n: [(9_000, 9_010)], "h")
+    assert [r.id for r in found.orderBy("id").collect()] == list(range(9_000, 9_011))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "id" in plan and ">=" in plan and "<=" in plan and "RepartitionByExpression" not in plan
