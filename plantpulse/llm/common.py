@@ -30,5 +30,24 @@ def word_array(text: Column) -> Column:
     return F.when(F.length(body) == 0, none).otherwise(F.split(body, SPACE_PATTERN))
 
 
+# Bits of the filter of `maybe_in`: at most 4 MB when broadcast, whatever the number of keys. A full filter only saves nothing.
+KEY_BITS = 25
+
+
+def maybe_in(df: DataFrame, hashed: str, keys: DataFrame, name: str = "__maybe") -> DataFrame:
+    """Adds `name`: false only where the 64-bit hash in a column is none of the hashes in the same column of `keys`.
+
+    A bitmap of fixed size meets the rows by a broadcast join on its block, so rows that have no partner are found without moving.
+    """
+    bit = F.pmod(F.col(hashed), F.lit(1 << KEY_BITS))
+    bits = keys.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("__block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("__bits"))
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    out = df.withColumns({"__block": F.bitmap_bucket_number(bit), "__place": place}).join(F.broadcast(bits), "__block", "left")
+    hit = F.coalesce(F.expr("shiftright(__byte, cast(__place % 8 as int))").bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return out.withColumn("__byte", byte).withColumn(name, hit).drop("__block", "__bits", "__place", "__byte")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

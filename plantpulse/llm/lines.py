@@ -20,13 +20,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plantpulse.llm.common import SPACE, saved, word_array
+from plantpulse.llm.common import SPACE, maybe_in, saved, word_array
 
 MIN_SITES = 8
 LG_K = 12
 # Over three standard errors of a sketch with 2^12 registers.
 MARGIN = 0.06
 MOST_REMOVED = 0.5
+# Tasks over which the copies of one text are spread when they meet its hits.
+SALTS = 8
 # As in the Jaccard join that follows in the pipeline.
 WIDTH, LEAST_JACCARD = 5, 0.75
 # Pivots that a text is compared with; near copies that share none of so many least shingles are one in 4^8.
@@ -110,11 +112,18 @@ def remove_lines(df: DataFrame, lines: DataFrame, text: str = "text", site: str
     found = saved(hits.select("__a", "__b", F.array_distinct(F.transform("at", lambda x: x["line"])).alias("__hits"),
                               (gone > F.lit(share) * F.col("whole")).alias("__copied")), "line-hits")
     if most_removed is None:
-        asked = keyed.join(found.filter("__copied").select("__a", "__b"), ["__a", "__b"], "left_semi")
+        large = found.filter("__copied").select("__a", "__b")
+        asked = maybe_in(keyed, "__a", large).filter("__maybe").drop("__maybe").join(large, ["__a", "__b"], "left_semi")
         copies = saved(copied_texts(asked, text, site, min_sites), "copies").withColumn("__is", F.lit(True))
         found = saved(found.drop("__copied").join(copies, ["__a", "__b"], "left").select(
             "__a", "__b", "__hits", F.coalesce("__is", F.lit(False)).alias("__copied")), "line-hits")
-    out = keyed.join(found, ["__a", "__b"], "left").withColumn("__lines", F.split(F.col(text), "\n"))
+    # texts without a hit stay where they are; the others meet their hits in the same way at every size, copies spread by salts
+    marked = maybe_in(keyed, "__a", found)
+    salted = marked.filter("__maybe").withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
+    out = salted.join(found.withColumn("__salt", salts).hint("merge"), ["__a", "__b", "__salt"], "left").drop("__salt")
+    out = out.unionByName(marked.filter(~F.col("__maybe")), allowMissingColumns=True).drop("__maybe")
+    out = out.withColumn("__lines", F.split(F.col(text), "\n"))
     hit = F.coalesce(F.col("__hits"), F.array().cast("array<bigint>"))
 
     def is_hit(x):
