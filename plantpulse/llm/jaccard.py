@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from plantpulse.llm import words
-from plantpulse.llm.common import saved
+from plantpulse.llm.common import maybe_in, saved
 from plantpulse.llm.graph import components
 
 WIDTH = 5
@@ -461,12 +461,15 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"),
                      F.col("text").isNull().alias("no_text"), F.xxhash64("text").alias("a"), F.hash(F.lit(7), "text").alias("b"))
     own = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("__text"), known.alias("__id"))
-    found = near_duplicates(own, "__id", "__text")
-    keep = saved(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(
-        F.count("*").alias("__n")), "kept-ids")
-    rows = own.join(keep, "__id")
-    return rows.filter("__n = 1").select("__id", "row").unionByName(
-        rows.filter("__n > 1").select("__id", "row").dropDuplicates(["__id"])).select("row.*")
+    found = saved(near_duplicates(own, "__id", "__text").select("doc_id", "component_id"), "components")
+    # a document that is alone in its component stays where it is; only the others' rows are moved to their verdicts
+    several = found.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1").select("component_id")
+    several = saved(found.join(several, "component_id", "left_semi").distinct().select(
+        F.col("doc_id").alias("__id"), F.col("component_id").alias("least"), F.xxhash64("doc_id").alias("__hash")), "several")
+    marked = maybe_in(own.withColumn("__hash", F.xxhash64("__id")), "__hash", several)
+    asked = marked.filter("__maybe").select("__id", "row").join(several.select("__id", "least"), "__id", "left")
+    kept = asked.filter(F.col("least").isNull() | (F.col("least") == F.col("__id"))).dropDuplicates(["__id"])
+    return marked.filter(~F.col("__maybe")).select("row.*").unionByName(kept.select("row.*"))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
