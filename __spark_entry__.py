@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from plantpulse.functions import mask, metrics as metric_fn, text, timefn, validate  # noqa: E402
-from plantpulse.lifecycle import backup, compression, retention  # noqa: E402
+from plantpulse.lifecycle import backup, compression, increments, retention  # noqa: E402
 from plantpulse.operators import alerts, analytics, anomaly, buckets, monitoring, raw, robots  # noqa: E402
 from plantpulse.plans import jobs, rollup, router  # noqa: E402
 from plantpulse.session import work_path  # noqa: E402
@@ -173,6 +173,20 @@ def q_backup_restore(spark, d):
     return rounded(spark.read.parquet(f"{path}/restored").select("data_id", "event_time", "robot_id", "pressure"))
 
 
+def q_backup_changed(spark, d):
+    """A table by day is saved, the readings of one day are corrected in place, the change is saved, both are restored."""
+    path = work_path(spark, "changed")
+    sink_tables.append_readings(star.readings(spark, d), f"{path}/table")
+    increments.save_part(spark, f"{path}/table", f"{path}/full")
+    day = spark.read.parquet(f"{path}/table").filter(F.col("dt").cast("string") == "2024-01-10")
+    day.withColumn("pressure", F.col("pressure") + 1).write.parquet(f"{path}/corrected")
+    (spark.read.parquet(f"{path}/corrected").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("dt").parquet(f"{path}/table"))
+    increments.save_part(spark, f"{path}/table", f"{path}/increment", [f"{path}/full"])
+    restored = increments.restored_rows(spark, [f"{path}/full", f"{path}/increment"])
+    return rounded(restored.select("data_id", "robot_id", F.col("dt").cast("string").alias("dt"), "pressure"))
+
+
 def q_generic_aggregate(spark, d):
     r = star.readings(spark, d)
     parts = [
@@ -431,7 +445,7 @@ def _telemetry_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "storage_stats": lambda s, d: rounded(retention.storage_stats(r(s, d))),
         "incremental_delta": lambda s, d: backup.incremental_delta(r(s, d), datetime(2024, 1, 20)).select("data_id", "event_time"),
         "table_checksum": lambda s, d: backup.digest_counts(r(s, d)),
-        "backup_restore": q_backup_restore,
+        "backup_restore": q_backup_restore, "backup_changed": q_backup_changed,
         "partitioned_write": q_partitioned_write, "bucketed_read": q_bucketed_read,
         "compress_rewrite": q_compress_rewrite,
         # streams, run to the end of the files that are there

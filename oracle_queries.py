@@ -489,6 +489,10 @@ SELECT substr(row, 1, 1) AS digit, count(*) AS row_count,
   CAST(sum(CAST(CAST('0x' || substr(row, 2, 12) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS digest FROM h GROUP BY 1""",
     "backup_restore": _with(READINGS) + f"""SELECT data_id, CASE WHEN CAST(data_id AS BIGINT) % 97 <> 0 THEN event_time END AS event_time,
   robot_id, {_r('pressure', 'pressure')} FROM readings""",
+    "backup_changed": _with(READINGS, """changed AS (
+  SELECT data_id, robot_id, strftime(event_time, '%Y-%m-%d') AS dt,
+    CASE WHEN strftime(event_time, '%Y-%m-%d') = '2024-01-10' THEN pressure + 1 ELSE pressure END AS pressure FROM readings)""")
+    + f"SELECT data_id, robot_id, dt, {_r('pressure', 'pressure')} FROM changed",
     "partitioned_write": _with(READINGS) + f"""SELECT strftime(event_time, '%Y-%m-%d') AS dt, robot_id, count(*) AS n, {_r('max(pressure)', 'max_pressure')}
 FROM readings GROUP BY 1, 2""",
     "bucketed_read": _with(READINGS) + f"SELECT robot_id, count(*) AS n, {_r('max(pressure)', 'max_pressure')} FROM readings GROUP BY robot_id",

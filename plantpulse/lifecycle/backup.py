@@ -66,6 +66,8 @@ def not_yet_saved(rows: DataFrame, saved: list[DataFrame], key: str = "data_id")
     for part in saved:
         ids = part.select(_identity(part, key).alias("__id"))
         known = ids if known is None else known.unionByName(ids)
+    if known is None:
+        return rows
     return rows.withColumn("__id", _identity(rows, key)).join(known, "__id", "left_anti").drop("__id")
 
 
