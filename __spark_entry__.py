@@ -18,7 +18,7 @@ from plantpulse.plans import jobs, rollup, router  # noqa: E402
 from plantpulse.session import work_path  # noqa: E402
 from plantpulse.sinks import export, tables as sink_tables  # noqa: E402
 from plantpulse.sources import messages, star, streams  # noqa: E402
-from plantpulse.streaming import alerts as stream_alerts, compact, ingest, status as stream_status  # noqa: E402
+from plantpulse.streaming import alerts as stream_alerts, compact, ingest, silence, status as stream_status  # noqa: E402
 from oracle_queries import ORACLE  # noqa: E402
 
 # The training-data operators may be absent as a whole; any other import error is a fault.
@@ -106,6 +106,11 @@ def q_stream_status(spark, d):
     return stream_status.current_status(spark, f"{path}/out", NOW, 6 * 3600)
 
 
+def q_stream_status_events(spark, d):
+    """When robots come and when they fall silent for six hours."""
+    return ingest.collect_stream(silence.status_events(_event_stream(spark, d), 6 * 3600), work_path(spark, "events"))
+
+
 def q_stream_dedup(spark, d):
     once = _event_stream(spark, d)
     twice = once.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
@@ -459,7 +464,7 @@ def _telemetry_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "total_processed", "total_errors", "success_rate")),
         "stream_dedup": q_stream_dedup,
         "stream_windows": q_stream_windows,
-        "stream_status": q_stream_status,
+        "stream_status": q_stream_status, "stream_status_events": q_stream_status_events,
         "stream_sustained": lambda s, d: q_stream_sustained(s, d).select("rule_id", "robot_id", "start_time", "severity"),
     }
 

@@ -512,6 +512,11 @@ SELECT count(*) AS total_processed, count(*) FILTER (WHERE bad) AS total_errors,
     "stream_dedup": _with(READINGS) + "SELECT data_id, event_time, robot_id FROM readings",
     "stream_windows": _with(READINGS) + f"""SELECT CAST(date_trunc('hour', event_time) AS TIMESTAMP) AS window_start, sensor_type, count(*) AS n,
   {_r('avg(temperature)', 'avg_temperature')} FROM readings GROUP BY 1, 2""",
+    "stream_status_events": _with(READINGS, "beats AS (SELECT robot_id, epoch_us(event_time) AS t FROM readings)",
+      "mark AS (SELECT (max(t) // 1000 - 600000) * 1000 AS upto, 21600000000 AS silence FROM beats)", """seen AS (
+  SELECT robot_id, t, lag(t) OVER w AS p, lead(t) OVER w AS n, upto, silence FROM beats, mark WHERE t <= upto WINDOW w AS (PARTITION BY robot_id ORDER BY t))""")
+    + """SELECT robot_id, 'ONLINE' AS status, make_timestamp(t) AS event_time FROM seen WHERE p IS NULL OR t - p > silence
+UNION ALL SELECT robot_id, 'OFFLINE', make_timestamp(t + silence) FROM seen WHERE n - t > silence OR (n IS NULL AND t + silence <= upto)""",
     "stream_status": _with(READINGS) + _freshness(_LAST_BEAT),
     "stream_sustained": _alerts("robot_id") + "SELECT rule_id, robot_id, start_time, severity FROM alerts",
 }
