@@ -378,7 +378,7 @@ def _telemetry_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "alert_rules_chunked": lambda s, d: alerts.sustained_alerts(
             r(s, d), star.alert_rules(s, RULES), keys=["robot_id"], chunk_seconds=6 * 3600, busy_rows=0),
         # rows
-        "realtime_topn": lambda s, d: raw.newest(r(s, d), 50).select("data_id", "event_time", "robot_id", "sensor_type"),
+        "realtime_topn": lambda s, d: raw.newest(r(s, d), 50, columns=["data_id", "event_time", "robot_id", "sensor_type"]),
         "range_query": lambda s, d: rounded(raw.time_range(r(s, d), LOW, HIGH).select(
             "data_id", "event_time", "robot_id", "temperature", "position_z")),
         "page_query": lambda s, d: raw.page(
@@ -392,7 +392,7 @@ def _telemetry_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             st(s, d), star.dim_robot(s, d), r(s, d), star.dim_sensor(s, d))),
         "sample_random": lambda s, d: raw.sample_random(r(s, d), 100, seed=3).select("data_id", "robot_id"),
         "sample_systematic": lambda s, d: raw.sample_systematic(
-            r(s, d), ["event_time", "data_id"], 90).select("data_id", "event_time", "robot_id"),
+            r(s, d).select("data_id", "event_time", "robot_id"), ["event_time", "data_id"], 90),
         "sample_routed": lambda s, d: rounded(raw.sample_systematic(_routed(s, d), ["robot_id"], 7)),
         "sample_head": lambda s, d: raw.sample_head(r(s, d), ["event_time", "data_id"], 90).select("data_id", "event_time"),
         "access_log_page": lambda s, d: raw.page(

@@ -223,7 +223,8 @@ SUBSCRIPTIONS = f"""subs AS (
     CASE WHEN c_nationkey % 2 = 0 THEN ['TEMPERATURE', 'PRESSURE'] END AS types FROM customer
   UNION ALL
   SELECT 'SUB-G' || CAST(r_regionkey AS VARCHAR), NULL, [CASE r_regionkey WHEN 0 THEN 'TEMPERATURE' WHEN 1 THEN 'HUMIDITY'
-    WHEN 2 THEN 'PRESSURE' WHEN 3 THEN 'POSITION' ELSE 'VIBRATION' END] FROM region)"""
+    WHEN 2 THEN 'PRESSURE' WHEN 3 THEN 'POSITION' ELSE 'VIBRATION' END] FROM region
+  UNION ALL SELECT 'SUB-N' || CAST(n_nationkey AS VARCHAR), NULL, NULL FROM nation WHERE n_nationkey = 0)"""
 
 
 def _performance(hours: int) -> str:
@@ -404,7 +405,7 @@ FROM dim_robot d LEFT JOIN last l ON d.robot_id = l.robot_id""",
   CASE WHEN humidity < 20 THEN 'mine' END) AS tags FROM readings""",
     "subscription_match": _with(READINGS, SUBSCRIPTIONS) + """SELECT subscription_id, data_id FROM readings r JOIN subs s
 ON r.robot_id = s.robot_id WHERE s.types IS NULL OR list_contains(s.types, r.sensor_type)
-UNION ALL SELECT subscription_id, data_id FROM readings r JOIN subs s ON s.robot_id IS NULL AND list_contains(s.types, r.sensor_type)""",
+UNION ALL SELECT subscription_id, data_id FROM readings r JOIN subs s ON s.robot_id IS NULL AND (s.types IS NULL OR list_contains(s.types, r.sensor_type))""",
     "status_topics": _with(STATUS) + """SELECT topic, robot_id AS key,
   '{"robot_id":"' || robot_id || '","status":"' || status || '","task_status":"' || task_status || '"}' AS value
 FROM (SELECT *, unnest(['/topic/robots/' || robot_id || '/status', '/topic/robots/all/status']) AS topic FROM robot_status)""",

@@ -15,9 +15,10 @@ from plantpulse.sources.tables import in_time_range, with_ids
 HEAP_ROWS = 100_000
 
 
-def newest(readings: DataFrame, n: int, robot_ids=None, sensor_types=None) -> DataFrame:
-    """The n newest readings."""
+def newest(readings: DataFrame, n: int, robot_ids=None, sensor_types=None, columns: list[str] | None = None) -> DataFrame:
+    """The n newest readings; only the given columns are read (and decide what ties), if they are named."""
     rows = with_ids(with_ids(readings, "robot_id", robot_ids), "sensor_type", sensor_types)
+    rows = rows.select(*dict.fromkeys([*columns, "event_time", "data_id"])) if columns else rows
     return first_rows(rows, ["event_time", "data_id"], n, descending=True)
 
 

@@ -228,11 +228,16 @@ def reading_tags(readings: DataFrame, attached: DataFrame | None = None) -> Data
         "data_id", tag_text(F.array_union(own_tags(), F.coalesce("__tags", none))).alias("tags"))
 
 
+# Buckets of the subscriptions that name neither robots nor types.
+CATCH_ALL_BUCKETS = 8
+
+
 def subscription_matches(readings: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """(subscription_id, data_id) for every reading a subscription covers.
 
     A missing or empty list means all. Subscriptions that name robots join on the robot, those that name only
-    types on the type. Those that name nothing are put beside each reading as a list, one row for the whole table.
+    types on the type. Those that name nothing are dealt to a fixed number of buckets, and each reading meets every
+    bucket by equality: they stay a table of any length, and Spark splits the rows they make.
     """
     def given(c):
         return F.coalesce(F.size(c) > 0, F.lit(False))
@@ -247,8 +252,10 @@ def subscription_matches(readings: DataFrame, subscriptions: DataFrame) -> DataF
     by_type = unnamed.filter(given("sensor_types")).select(
         "subscription_id", F.explode(F.array_distinct("sensor_types")).alias("sensor_type"))
     wide = rows.join(by_type, "sensor_type")
-    everything = unnamed.filter(~given("sensor_types")).agg(F.collect_list("subscription_id")).scalar()
-    catch_all = rows.select(F.explode(everything).alias("subscription_id"), "data_id")
+    everything = unnamed.filter(~given("sensor_types")).select(
+        "subscription_id", F.pmod(F.xxhash64("subscription_id"), F.lit(CATCH_ALL_BUCKETS)).cast("int").alias("bucket"))
+    buckets = F.explode(F.sequence(F.lit(0), F.lit(CATCH_ALL_BUCKETS - 1))).alias("bucket")
+    catch_all = rows.select("data_id", buckets).join(everything, "bucket")
     out = named.select("subscription_id", "data_id")
     for part in (wide, catch_all):
         out = out.unionByName(part.select("subscription_id", "data_id"))

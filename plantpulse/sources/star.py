@@ -122,7 +122,7 @@ def status_history(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def subscriptions(spark: SparkSession, folder: str) -> DataFrame:
-    """Each owner follows its own robot (some one type only); each region follows one type everywhere."""
+    """Each owner follows its own robot (some one type only); each region follows one type everywhere, one nation all."""
     own = table(spark, folder, "customer").selectExpr(
         "concat('SUB-C', CAST(c_custkey AS STRING)) AS subscription_id",
         f"array({code('R', 'c_custkey', 6)}) AS robot_ids",
@@ -132,7 +132,10 @@ def subscriptions(spark: SparkSession, folder: str) -> DataFrame:
         "CAST(NULL AS ARRAY<STRING>) AS robot_ids",
         "array(CASE r_regionkey WHEN 0 THEN 'TEMPERATURE' WHEN 1 THEN 'HUMIDITY' WHEN 2 THEN 'PRESSURE' "
         "WHEN 3 THEN 'POSITION' ELSE 'VIBRATION' END) AS sensor_types")
-    return own.unionByName(wide)
+    none = "CAST(NULL AS ARRAY<STRING>)"
+    every = table(spark, folder, "nation").filter("n_nationkey = 0").selectExpr(
+        "concat('SUB-N', CAST(n_nationkey AS STRING)) AS subscription_id", f"{none} AS robot_ids", f"{none} AS sensor_types")
+    return own.unionByName(wide).unionByName(every)
 
 
 def robot_updates(spark: SparkSession, folder: str) -> DataFrame:
