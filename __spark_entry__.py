@@ -144,7 +144,8 @@ def q_stream_compacted(spark, d):
 def q_bucketed_read(spark, d):
     """The bucketed history table read as a table: grouping by robot needs no shuffle."""
     path = work_path(spark, "bucketed")
-    name = "fact_" + path.rsplit("-", 1)[1]
+    name = "fact_bucketed_read"  # one name, replaced at every call: no table is left behind for each
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
     sink_tables.save_fact_table(star.readings(spark, d), name, strategy="DAILY", buckets=4, path=path)
     return rounded(spark.table(name).groupBy("robot_id").agg(F.count("*").alias("n"), F.max("pressure").alias("max_pressure")))
 
