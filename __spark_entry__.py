@@ -141,6 +141,41 @@ def q_stream_compacted(spark, d):
     return rounded(compact.facts(spark, path).select("data_id", "event_time", "robot_id", "dt", "hr", "pressure"))
 
 
+def q_route_ingested(spark, d):
+    """Ingest file by file, compact what is there, ingest again, route over facts and batches that wait."""
+    path, source = work_path(spark, "live"), work_path(spark, "live-in")
+    rows = messages.topic_rows(messages.to_events(star.readings(spark, d)))
+    late = F.pmod(F.crc32("value"), F.lit(2)) == 1
+    for part, compacted in ((~late, True), (late, False)):
+        rows.filter(part).write.mode("append").parquet(source)
+        live = streams.parquet_stream(spark, source, rows.schema)
+        ingest.start_ingest(live, path, f"{path}/checkpoint", available_now=True).awaitTermination()
+        if compacted:
+            compact.compact(spark, path, linger=True)
+    tables = compact.live_tables(spark, path, star.dim_robot(spark, d))
+    return rounded(router.route_query(tables, LOW, HIGH, metrics=["temperature", "humidity", "pressure"], ordered=False))
+
+
+# Lists as a user passes them: one for an IN predicate, one beyond its bound, which becomes a semi join.
+SHORT_LIST = [f"R{i:06d}" for i in range(0, 1200, 3)]
+LONG_LIST = [f"R{i:06d}" for i in range(0, 6000, 2)]
+
+
+def _listed(ids):
+    return lambda s, d: rounded(router.route_query(
+        _tables(s, d), LOW, HIGH, robot_ids=ids, sensor_types=["TEMPERATURE", "HUMIDITY"],
+        metrics=["temperature", "humidity", "pressure"], ordered=False))
+
+
+def q_compress_in_place(spark, d):
+    """Write by day, give the older half another codec where it lies, read the whole table."""
+    path = work_path(spark, "recode")
+    sink_tables.append_readings(star.readings(spark, d), path)
+    compression.rewrite_in_place(spark, path, "ZSTD", NOW, days=15)
+    return rounded(spark.read.parquet(path).select(
+        "data_id", "robot_id", F.col("dt").cast("string").alias("dt"), "pressure"))
+
+
 def q_bucketed_read(spark, d):
     """The bucketed history table read as a table: grouping by robot needs no shuffle."""
     path = work_path(spark, "bucketed")
@@ -339,6 +374,8 @@ def _telemetry_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "route_historical_fallback": lambda s, d: rounded(router.route_query(
             _tables(s, d), LOW, HIGH, metrics=["temperature", "pressure"])),
         "route_stored_rollup": q_route_stored_rollup,
+        "route_listed_short": _listed(SHORT_LIST), "route_listed_long": _listed(LONG_LIST),
+        "route_ingested": q_route_ingested,
         "hourly_rollup": lambda s, d: rounded(rollup.build_hourly(r(s, d))),
         # buckets and trends
         "bucket_minute": _bucket("minute"), "bucket_hourly": _bucket("hourly"),
@@ -453,7 +490,7 @@ def _telemetry_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "table_checksum": lambda s, d: backup.digest_counts(r(s, d)),
         "backup_restore": q_backup_restore, "backup_changed": q_backup_changed,
         "partitioned_write": q_partitioned_write, "bucketed_read": q_bucketed_read,
-        "compress_rewrite": q_compress_rewrite,
+        "compress_rewrite": q_compress_rewrite, "compress_in_place": q_compress_in_place,
         # streams, run to the end of the files that are there
         "stream_ingest": lambda s, d: rounded(ingest.ingested(s, _ingested(s, d)).select(
             "data_id", "event_time", "robot_id", "sensor_type", "temperature", "humidity", "pressure")),

@@ -113,6 +113,9 @@ FROM readings s JOIN dim_robot r ON s.robot_id = r.robot_id WHERE {where}
 GROUP BY r.robot_id, r.robot_name, r.robot_type"""
 
 
+_LISTED = "sensor_type IN ('TEMPERATURE', 'HUMIDITY')"
+
+
 def _incremental(where: str, metrics=("temperature", "humidity", "pressure")) -> str:
     return _with(READINGS) + f"""
 SELECT robot_id, {_measures(metrics)}, count(*) AS data_count FROM readings WHERE {where} GROUP BY robot_id"""
@@ -250,6 +253,11 @@ ORACLE: dict[str, str] = {
     "route_historical_rollup": _incremental("CAST(event_time AS DATE) BETWEEN '2024-01-01' AND '2024-01-31'", ("temperature", "humidity")),
     "route_stored_rollup": _incremental("CAST(event_time AS DATE) BETWEEN '2024-01-01' AND '2024-01-31'", ("temperature", "humidity")),
     "route_historical_fallback": _incremental(BOUND, ("temperature", "pressure")),
+    "route_listed_short": _incremental(f"{BOUND} AND {_LISTED} AND CAST(substr(robot_id, 2) AS BIGINT) % 3 = 0 "
+                                       "AND CAST(substr(robot_id, 2) AS BIGINT) < 1200"),
+    "route_listed_long": _incremental(f"{BOUND} AND {_LISTED} AND CAST(substr(robot_id, 2) AS BIGINT) % 2 = 0 "
+                                      "AND CAST(substr(robot_id, 2) AS BIGINT) < 6000"),
+    "route_ingested": _incremental(f"{BOUND} AND ({_REASON}) IS NULL"),
     "hourly_rollup": _with(READINGS) + "SELECT strftime(event_time, '%Y-%m-%d') AS dt, strftime(event_time, '%H') AS hr, robot_id, sensor_type, "
     + ", ".join(f"{_r(f'sum({m})', f'sum_{m}')}, count({m}) AS cnt_{m}, {_r(f'avg({m})', f'avg_{m}')}, "
                 f"{_r(f'max({m})', f'max_{m}')}, {_r(f'min({m})', f'min_{m}')}" for m in _STATS)
@@ -499,6 +507,7 @@ FROM readings GROUP BY 1, 2""",
     "bucketed_read": _with(READINGS) + f"SELECT robot_id, count(*) AS n, {_r('max(pressure)', 'max_pressure')} FROM readings GROUP BY robot_id",
     "stream_compacted": _with(READINGS) + f"""SELECT data_id, event_time, robot_id, strftime(event_time, '%Y-%m-%d') AS dt,
   strftime(event_time, '%H') AS hr, {_r('pressure', 'pressure')} FROM readings WHERE status = 'NORMAL' AND ({_REASON}) IS NULL""",
+    "compress_in_place": _with(READINGS) + f"""SELECT data_id, robot_id, strftime(event_time, '%Y-%m-%d') AS dt, {_r('pressure', 'pressure')} FROM readings""",
     "compress_rewrite": _with(READINGS) + f"""SELECT data_id, robot_id, strftime(event_time, '%Y-%m-%d') AS dt, {_r('pressure', 'pressure')} FROM readings""",
     "stream_ingest": _with(READINGS) + f"""SELECT data_id, event_time, robot_id, sensor_type, {_r('temperature', 'temperature')},
   {_r('humidity', 'humidity')}, {_r('pressure', 'pressure')} FROM readings WHERE status = 'NORMAL' AND ({_REASON}) IS NULL""",

@@ -13,6 +13,7 @@ from plantpulse.sources.tables import file_listing, since_until
 # Fixed value: days kept.
 RETENTION_DAYS = 90
 STAGED = "_staged_dt="
+DROPPED_AT_ONCE = 500
 
 
 def cutoff(now: datetime, days: int = RETENTION_DAYS) -> datetime:
@@ -63,11 +64,11 @@ def expired_partitions(spark: SparkSession, table: str, before: datetime) -> Dat
 
 
 def drop_expired_partitions(spark: SparkSession, table: str, before: datetime) -> list[str]:
-    """Drop whole partitions; data files of other partitions are not touched."""
+    """Drop whole partitions, many in one statement; data files of other partitions are not touched."""
     gone = [r.partition for r in expired_partitions(spark, table, before).collect()]
-    for text in gone:
-        spec = ", ".join("{}='{}'".format(*p.split("=", 1)) for p in text.split("/"))
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({spec})")
+    specs = ["PARTITION ({})".format(", ".join("{}='{}'".format(*p.split("=", 1)) for p in text.split("/"))) for text in gone]
+    for first in range(0, len(specs), DROPPED_AT_ONCE):
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {', '.join(specs[first:first + DROPPED_AT_ONCE])}")
     return gone
 
 

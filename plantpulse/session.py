@@ -87,6 +87,33 @@ def move_path(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot move {source} to {target}")
 
 
+def move_into(spark: SparkSession, source: str, target: str) -> None:
+    """Move a folder to a place that may exist already: what the target lacks is moved, folders on both sides are
+    merged. File names are unique, so a broken-off move is completed by the next one."""
+    if not path_exists(spark, target):
+        return move_path(spark, source, target)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for found in path(source).getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path(source)):
+        name = found.getPath().getName()
+        if found.isDirectory():
+            move_into(spark, f"{source}/{name}", f"{target}/{name}")
+        elif not path_exists(spark, f"{target}/{name}"):
+            move_path(spark, f"{source}/{name}", f"{target}/{name}")
+    remove_path(spark, source)
+
+
+def folder_size(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes and files below a folder, from the file system's own summary."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target)
+    return found.getLength(), found.getFileCount()
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
+
+
 def small(df, rows: int = 20_000):
     """Broadcast hint for a table that turns out to have at most `rows` rows; larger ones are left to
     the planner. For configuration tables whose size Spark cannot know, such as rules made in Python."""
