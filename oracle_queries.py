@@ -529,4 +529,5 @@ SELECT count(*) AS total_processed, count(*) FILTER (WHERE bad) AS total_errors,
 UNION ALL SELECT robot_id, 'OFFLINE', make_timestamp(t + silence) FROM seen WHERE n - t > silence OR (n IS NULL AND t + silence <= upto)""",
     "stream_status": _with(READINGS) + _freshness(_LAST_BEAT),
     "stream_sustained": _alerts("robot_id") + "SELECT rule_id, robot_id, start_time, severity FROM alerts",
+    "stream_sustained_late": _alerts("robot_id") + "SELECT rule_id, robot_id, start_time, severity FROM alerts",
 }
