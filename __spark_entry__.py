@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from plantpulse.functions import mask, metrics as metric_fn, text, timefn, validate  # noqa: E402
 from plantpulse.lifecycle import backup, compression, increments, retention  # noqa: E402
-from plantpulse.operators import alerts, analytics, anomaly, buckets, monitoring, raw, robots  # noqa: E402
+from plantpulse.operators import alerts, analytics, anomaly, buckets, monitoring, raw, robots, rule_index  # noqa: E402
 from plantpulse.plans import jobs, rollup, router  # noqa: E402
 from plantpulse.session import work_path  # noqa: E402
 from plantpulse.sinks import export, tables as sink_tables  # noqa: E402
@@ -425,6 +425,9 @@ def _telemetry_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "alert_rules_sustained": lambda s, d: alerts.sustained_alerts(r(s, d), star.alert_rules(s, RULES)),
         "alert_rules_by_robot": lambda s, d: alerts.sustained_alerts(
             r(s, d), star.alert_rules(s, RULES), keys=["robot_id"], chunk_seconds=86400),
+        "alert_rules_indexed": lambda s, d: rule_index.indexed_alerts(r(s, d), star.part_rules(s, d), keys=["robot_id"]),
+        "alert_rules_indexed_chunked": lambda s, d: rule_index.indexed_alerts(
+            r(s, d), star.part_rules(s, d), keys=["robot_id"], busy_rows=0),
         "alert_records": lambda s, d: alerts.alert_records(alerts.sustained_alerts(
             r(s, d), star.alert_rules(s, RULES), keys=["robot_id"])).select(
             "rule_id", "robot_id", "title", "content", "severity", "status", "create_time"),

@@ -177,18 +177,30 @@ JUDGED_ROBOTS = f"""judged AS (
     WHEN battery_level < 5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM judged)"""
 
 
-def _alerts(keys: str) -> str:
-    return _with(READINGS, """rules AS (
+_RULES = """rules AS (
   SELECT * FROM (VALUES
     ('RULE001', 'TEMPERATURE', 'HIGH', 'temperature', '>', 80, 300),
     ('RULE003', 'HUMIDITY', 'LOW', 'humidity', '<', 20, 600),
     ('RULE004', 'PRESSURE', 'MEDIUM', 'pressure', '>=', 1000, 3600))
-  AS t(rule_id, alert_type, severity, metric, op, threshold, duration))""", f"""vals AS (
+  AS t(rule_id, alert_type, severity, metric, op, threshold, duration))"""
+
+_PART_RULES = """rules AS (
+  SELECT 'PART' || CAST(p_partkey AS VARCHAR) AS rule_id, upper(metric) AS alert_type,
+    CASE WHEN p_size > 25 THEN 'HIGH' ELSE 'LOW' END AS severity, metric,
+    CASE p_size % 4 WHEN 0 THEN '>' WHEN 1 THEN '>=' WHEN 2 THEN '<' ELSE '<=' END AS op,
+    p_retailprice + CASE p_partkey % 3 WHEN 2 THEN 50::DOUBLE ELSE -900::DOUBLE END AS threshold,
+    (7 + p_size % 7) * 86400 AS duration
+  FROM (SELECT *, CASE p_partkey % 3 WHEN 0 THEN 'temperature' WHEN 1 THEN 'humidity' ELSE 'pressure' END AS metric FROM part)
+  WHERE p_size <> 13)"""
+
+
+def _alerts(keys: str, rules: str = _RULES) -> str:
+    return _with(READINGS, rules, f"""vals AS (
   SELECT {keys}, event_time, data_id, 'temperature' AS metric, temperature AS v FROM readings
   UNION ALL SELECT {keys}, event_time, data_id, 'humidity', humidity FROM readings
   UNION ALL SELECT {keys}, event_time, data_id, 'pressure', pressure FROM readings)""", f"""marked AS (
   SELECT rule_id, alert_type, severity, duration, {keys}, event_time, data_id,
-    CASE op WHEN '>' THEN v > threshold WHEN '<' THEN v < threshold ELSE v >= threshold END AS breach
+    CASE op WHEN '>' THEN v > threshold WHEN '<' THEN v < threshold WHEN '<=' THEN v <= threshold ELSE v >= threshold END AS breach
   FROM vals JOIN rules USING (metric) WHERE v IS NOT NULL)""", f"""numbered AS (
   SELECT *, sum(CASE WHEN breach THEN 0 ELSE 1 END) OVER (
     PARTITION BY rule_id, {keys} ORDER BY event_time, data_id ROWS UNBOUNDED PRECEDING) AS gap FROM marked)""", f"""
@@ -322,6 +334,8 @@ FROM readings""",
     "alert_rules_sustained": _alerts("robot_id, sensor_id") + "SELECT * FROM alerts",
     "alert_rules_by_robot": _alerts("robot_id") + "SELECT * FROM alerts",
     "alert_rules_chunked": _alerts("robot_id") + "SELECT * FROM alerts",
+    "alert_rules_indexed": _alerts("robot_id", _PART_RULES) + "SELECT * FROM alerts",
+    "alert_rules_indexed_chunked": _alerts("robot_id", _PART_RULES) + "SELECT * FROM alerts",
     "alert_rules_battery": _with(READINGS, """numbered AS (
   SELECT *, humidity < 10 AS breach, sum(CASE WHEN humidity < 10 THEN 0 ELSE 1 END) OVER (
     PARTITION BY robot_id ORDER BY event_time, data_id ROWS UNBOUNDED PRECEDING) AS gap FROM readings WHERE humidity IS NOT NULL)""") + """

@@ -154,6 +154,20 @@ def alert_rules(spark: SparkSession, extra=()) -> DataFrame:
     return spark.createDataFrame(list(SEED_RULES) + list(extra), ALERT_RULE)
 
 
+def part_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """A rule per part: price sets the threshold, size the operator and the days that the condition must last."""
+    return table(spark, folder, "part").selectExpr(
+        "concat('PART', CAST(p_partkey AS STRING)) AS rule_id", "p_name AS rule_name",
+        "CASE p_partkey % 3 WHEN 0 THEN 'TEMPERATURE' WHEN 1 THEN 'HUMIDITY' ELSE 'PRESSURE' END AS rule_type",
+        "'' AS description",
+        "to_json(named_struct('metric', CASE p_partkey % 3 WHEN 0 THEN 'temperature' WHEN 1 THEN 'humidity' ELSE 'pressure' END, "
+        "'operator', CASE p_size % 4 WHEN 0 THEN '>' WHEN 1 THEN '>=' WHEN 2 THEN '<' ELSE '<=' END, "
+        "'threshold', p_retailprice + CASE p_partkey % 3 WHEN 2 THEN 50D ELSE -900D END, "
+        "'duration', (7 + p_size % 7) * 86400L)) AS conditions",
+        "'{}' AS actions", "CASE WHEN p_size > 25 THEN 'HIGH' ELSE 'LOW' END AS severity",
+        "CASE WHEN p_size = 13 THEN 0 ELSE 1 END AS enable_flag")
+
+
 def operation_log(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").selectExpr(
         "CAST(o_orderkey AS STRING) AS log_id", "concat('user', CAST(o_custkey AS STRING)) AS user_id",
