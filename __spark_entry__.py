@@ -427,7 +427,7 @@ def _telemetry_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             r(s, d), star.alert_rules(s, RULES), keys=["robot_id"], chunk_seconds=86400),
         "alert_rules_indexed": lambda s, d: rule_index.indexed_alerts(r(s, d), star.part_rules(s, d), keys=["robot_id"]),
         "alert_rules_indexed_chunked": lambda s, d: rule_index.indexed_alerts(
-            r(s, d), star.part_rules(s, d), keys=["robot_id"], busy_rows=0),
+            r(s, d), star.part_rules(s, d), keys=["robot_id"], chunk_seconds=10 * 86400, busy_rows=0),
         "alert_records": lambda s, d: alerts.alert_records(alerts.sustained_alerts(
             r(s, d), star.alert_rules(s, RULES), keys=["robot_id"])).select(
             "rule_id", "robot_id", "title", "content", "severity", "status", "create_time"),
