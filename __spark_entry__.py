@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from plantpulse.functions import mask, metrics as metric_fn, text, timefn, validate  # noqa: E402
-from plantpulse.lifecycle import backup, compression, increments, retention  # noqa: E402
+from plantpulse.lifecycle import backup, compression, digests, increments, retention  # noqa: E402
 from plantpulse.operators import alerts, analytics, anomaly, buckets, monitoring, raw, robots, rule_index  # noqa: E402
 from plantpulse.plans import jobs, rollup, router  # noqa: E402
 from plantpulse.session import work_path  # noqa: E402
@@ -116,6 +116,19 @@ def q_stream_sustained_late(spark, d):
     return stream_alerts.raised(spark, f"{path}/out")
 
 
+def q_checksum_differences(spark, d):
+    """Orders and a later copy of them: some lost, some changed, some new. Both are stored with their digest trees."""
+    path, orders = work_path(spark, "digests"), star.table(spark, d, "orders")
+    kept = orders.filter("o_custkey % 500 <> 7 OR o_orderkey % 2 = 0").withColumn(
+        "o_totalprice", F.expr("CASE WHEN o_custkey % 700 = 11 THEN o_totalprice + 1D ELSE o_totalprice END"))
+    new = orders.filter("o_custkey % 900 = 13").withColumn("o_orderkey", -F.col("o_orderkey") - 1)
+    for name, rows in (("before", orders), ("after", kept.unionByName(new))):
+        digests.save_copy(rows, ["o_orderkey"], f"{path}/{name}")
+    tables = [digests.read_copy(spark, f"{path}/{n}") for n in ("before", "after")]
+    trees = [digests.read_tree(spark, f"{path}/{n}") for n in ("before", "after")]
+    return digests.differences(*tables, ["o_orderkey"], *trees)
+
+
 def q_stream_status(spark, d):
     path = work_path(spark, "status")
     query = stream_status.start_status(_event_stream(spark, d), f"{path}/out", f"{path}/checkpoint", available_now=True)
@@ -507,6 +520,7 @@ def _telemetry_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cleanup_preview": lambda s, d: retention.cleanup_preview(r(s, d), datetime(2024, 1, 16)),
         "storage_stats": lambda s, d: rounded(retention.storage_stats(r(s, d))),
         "incremental_delta": lambda s, d: backup.incremental_delta(r(s, d), datetime(2024, 1, 20)).select("data_id", "event_time"),
+        "checksum_differences": q_checksum_differences,
         "table_checksum": lambda s, d: backup.digest_counts(r(s, d)),
         "backup_restore": q_backup_restore, "backup_changed": q_backup_changed,
         "partitioned_write": q_partitioned_write, "bucketed_read": q_bucketed_read,

@@ -502,6 +502,11 @@ FROM backup_tasks WHERE start_time > '1996-01-01' AND start_time < '2001-01-01'"
     "storage_stats": _with(READINGS) + f"""SELECT count(*) AS total_rows, count(DISTINCT CAST(event_time AS DATE)) AS partition_count,
   {_r('count(*) / count(DISTINCT CAST(event_time AS DATE))', 'rows_per_day')}, min(event_time) AS oldest, max(event_time) AS latest FROM readings""",
     "incremental_delta": _with(READINGS) + "SELECT data_id, event_time FROM readings WHERE event_time > '2024-01-20'",
+    "checksum_differences": """SELECT o_orderkey, CASE WHEN lost THEN 'REMOVED' ELSE 'CHANGED' END AS kind,
+  CAST(1 AS BIGINT) AS rows_before, CAST(CASE WHEN lost THEN 0 ELSE 1 END AS BIGINT) AS rows_after
+FROM (SELECT o_orderkey, o_custkey % 500 = 7 AND o_orderkey % 2 <> 0 AS lost, o_custkey % 700 = 11 AS changed FROM orders)
+WHERE lost OR changed
+UNION ALL SELECT -o_orderkey - 1, 'ADDED', 0, 1 FROM orders WHERE o_custkey % 900 = 13""",
     "table_checksum": _with(READINGS, "h AS (SELECT md5(concat_ws('|', " + ", ".join(
         f"coalesce({x}, '\\N')" for x in (
             "data_id", "CAST(epoch_us(event_time) AS VARCHAR)", "robot_id", "sensor_id", "sensor_type", *[
