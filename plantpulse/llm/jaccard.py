@@ -182,7 +182,10 @@ def _shared_shingles(rows: DataFrame) -> DataFrame:
 
 
 def _thinned(lead: DataFrame, groups: DataFrame) -> DataFrame:
-    """(node, least, shingle) of leading shingles that may be among the groups; spares the join most rows."""
+    """(node, least, shingle) of leading shingles that may be among the groups, for nodes that may have `least` of them.
+
+    Spares the join most rows: what the filter passes is never less than what the groups hold.
+    """
     shared = lead.sparkSession.sparkContext.broadcast(_filter_bits(groups, "shingle"))
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,6 +197,9 @@ def _thinned(lead: DataFrame, groups: DataFrame) -> DataFrame:
             lists = batch.column("lead")
             keys, n = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
             ok = _passes(bits, keys)
+            passed = np.concatenate([[0], np.cumsum(ok)])
+            ends = np.concatenate([[0], np.cumsum(n)])
+            ok &= np.repeat(passed[ends[1:]] - passed[ends[:-1]] >= batch.column("least").to_numpy(zero_copy_only=False), n)
             columns = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n)[ok] for c in ("node", "least")]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(keys[ok])], ["node", "least", "shingle"])
 

@@ -206,3 +206,11 @@ def test_decontamination_stage(spark, tmp_path):
     docs = spark.createDataFrame([(1, "x " + leak, 0), (2, "clean words", 1), (2, "clean words", 1), (3, None, 2)], "doc_id long, text string, n_hit int")
     got = leaks.stage(spark, docs, str(tmp_path))
     assert got.columns == docs.columns and sorted((r.doc_id, r.n_hit) for r in got.collect()) == [(2, 1), (2, 1), (3, 2)]
+
+
+def test_nodes_without_enough_shared_shingles_are_not_moved(spark):
+    lead = spark.createDataFrame([(1, 2, [10, 11, 12]), (2, 2, [10, 20, 21]), (3, 1, [30, 10]), (4, 1, [40])],
+                                 "node bigint, least bigint, lead array<bigint>").coalesce(1)
+    groups = spark.createDataFrame([(10,), (11,)], "shingle bigint")
+    got = sorted(map(tuple, jaccard._thinned(lead, groups).collect()))
+    assert got == [(1, 2, 10), (1, 2, 11), (3, 1, 10)]
