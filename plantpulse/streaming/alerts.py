@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plantpulse.functions.timefn import at, seconds_between
 from plantpulse.operators.alerts import judged, parsed_rules
-from plantpulse.operators.ordered import islands
+from plantpulse.operators.ordered import CHUNK, islands, with_chunk
 from plantpulse.operators.robots import alert_messages, robot_alerts
 from plantpulse.schemas import METRICS
 from plantpulse.session import folder_names, remove_path, small
@@ -76,9 +76,16 @@ def sustained_writer(rules: DataFrame, path: str, keys=("robot_id", "sensor_id")
             came.persist()
         ready = came if delay_seconds is None else _settled(came, batch_id, path, delay_seconds, until)
         before = _open_runs(spark, path, batch_id, keys)
-        marks = before.select(*group, F.explode(F.array("open_since", "last_time")).alias("event_time"),
-                              F.lit("").alias("data_id"), F.lit(True).alias("breach"))
-        rows = judged(ready, active, keys).unionByName(marks).persist()
+        marks = before.select(*group, F.explode(F.array("open_since", "last_time")).alias("event_time"), F.lit("").alias("data_id"))
+        # readings and marks move to their key and chunk before readings fan out into one row per rule
+        named = {r["metric"] for r in active.select("metric").distinct().collect()}
+        asked = [m for m in METRICS if m in named] or list(METRICS[:1])
+        slim = ready.select(*keys, "event_time", "data_id", *asked)
+        placed = with_chunk(slim.unionByName(marks, allowMissingColumns=True), keys, "event_time", chunk_seconds).repartition(
+            *keys, CHUNK)
+        judgements = judged(placed.filter("rule_id IS NULL").drop("rule_id"), active, keys, asked)
+        kept = placed.filter("rule_id IS NOT NULL").select(*group, "event_time", "data_id", CHUNK, F.lit(True).alias("breach"))
+        rows, known = judgements.unionByName(kept).persist(), None
         try:
             runs = islands(rows, group, "event_time", "data_id", "breach", chunk_seconds)
             last = rows.groupBy(*group).agg(
@@ -90,7 +97,7 @@ def sustained_writer(rules: DataFrame, path: str, keys=("robot_id", "sensor_id")
                 .join(last, group)
                 .withColumn("done", F.coalesce(
                     F.col("alerted") & F.col("open_since").between(F.col("start_time"), F.col("end_time")), F.lit(False)))
-                .withColumn("due", seconds_between("start_time", "end_time") >= F.col("duration")))
+                .withColumn("due", seconds_between("start_time", "end_time") >= F.col("duration"))).persist()
             fresh = known.filter(F.col("due") & ~F.col("done"))
             fresh.select("rule_id", "alert_type", "severity", *keys, "start_time",
                          F.col("end_time").alias("raised_at")).write.mode("overwrite").parquet(
@@ -106,6 +113,8 @@ def sustained_writer(rules: DataFrame, path: str, keys=("robot_id", "sensor_id")
         finally:
             rows.unpersist()
             came.unpersist()
+            if known is not None:
+                known.unpersist()
 
     return write
 

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from plantpulse.operators import alerts
+from plantpulse.operators.ordered import CHUNK
 from plantpulse.schemas import ALERT_RULE, SEED_RULES
 from plantpulse.streaming import alerts as stream_alerts
 
@@ -77,3 +78,10 @@ def test_shuffled_readings_equal_the_batch(spark, sf, folder):
     want = sorted((x.rule_id, x.robot_id, x.start_time) for x in alerts.sustained_alerts(r, rules(spark), ["robot_id"]).collect())
     assert got == want and want
     assert stream_alerts.too_late(spark, folder).count() == 0
+
+
+def test_readings_move_before_they_meet_rules(spark, readings, folder, monkeypatch):
+    seen, judged = [], stream_alerts.judged
+    monkeypatch.setattr(stream_alerts, "judged", lambda rows, *a: seen.append(rows.columns) or judged(rows, *a))
+    stream_alerts.sustained_writer(rules(spark), folder)(at(readings, 0, 400), 0)
+    assert starts(spark, folder) == [0] and all(CHUNK in columns and "position_x" not in columns for columns in seen) and seen
