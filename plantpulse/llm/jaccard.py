@@ -88,15 +88,17 @@ def popularity(docs: DataFrame, text: str, width: int = WIDTH) -> np.ndarray:
             for k, p, x in zip(batch.column("block").to_pylist(), batch.column("place").to_pylist(), batch.column("counts")):
                 total.setdefault(k, np.zeros(part, np.int64))[:] += np.frombuffer(x.as_buffer(), np.uint8).astype(np.int64) << p
         for k, sums in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sums.tobytes()], pa.binary())],
-                                             ["block", "counts"])
-
-    sums = docs.select(F.col(text).alias("text")).mapInArrow(count, "block int, place int, counts binary").repartition(
-        "block").mapInArrow(add, "block int, counts binary")
-    out = np.zeros(size, np.int64)
-    for row in sums.collect():  # the fixed number of blocks
-        out[row.block * part:(row.block + 1) * part] += np.frombuffer(row.counts, np.int64)
-    return np.round(64 * np.log2(out + 1)).astype(np.uint16)
+            levels = np.round(64 * np.log2(sums + 1)).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([levels.tobytes()], pa.binary())],
+                                             ["block", "levels"])
+
+    # tasks turn the counters into levels, so the driver holds 8 MB and no counters
+    blocks = docs.select(F.col(text).alias("text")).mapInArrow(count, "block int, place int, counts binary").repartition(
+        "block").mapInArrow(add, "block int, levels binary")
+    out = np.zeros(size, np.uint16)
+    for row in blocks.collect():  # the fixed number of blocks
+        out[row.block * part:(row.block + 1) * part] = np.frombuffer(row.levels, np.uint16)
+    return out
 
 
 def _nodes(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:

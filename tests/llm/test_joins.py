@@ -1,6 +1,7 @@
 """The Jaccard join, decontamination and components against brute force."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -214,3 +215,18 @@ def test_nodes_without_enough_shared_shingles_are_not_moved(spark):
     groups = spark.createDataFrame([(10,), (11,)], "shingle bigint")
     got = sorted(map(tuple, jaccard._thinned(lead, groups).collect()))
     assert got == [(1, 2, 10), (1, 2, 11), (3, 1, 10)]
+
+
+def test_the_popularity_sketch_passes_the_driver_as_levels(spark):
+    """8 MB of levels; counters and what is computed from them took ten times that in the driver's Python."""
+    texts = ["a b c d e f", "a b c d e g", "a b c d e", None, "x y"] * 3
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    tracemalloc.start()
+    levels = jaccard.popularity(docs, "text")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20
+    counts = np.zeros(1 << jaccard.SKETCH_BITS, np.int64)
+    for _, h, _ in jaccard._shingle_slices(pa.RecordBatch.from_pydict({"text": texts}), "text", jaccard.WIDTH):
+        np.add.at(counts, h & np.uint64(len(counts) - 1), 1)
+    assert counts.max() == 9 and (levels == np.round(64 * np.log2(counts + 1)).astype(np.uint16)).all()
