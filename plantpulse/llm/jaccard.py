@@ -40,7 +40,7 @@ from plantpulse.llm.graph import components
 
 WIDTH = 5
 RADIUS = 0.25
-# Counters of the popularity sketch: 32 MB in a task, 8 MB as levels when broadcast, whatever the corpus.
+# Counters of the popularity sketch: 16 MB in a task, 8 MB as levels when broadcast, whatever the corpus.
 SKETCH_BITS = 22
 _BLOCKS = 64
 # Bits of the filters of wanted nodes and shingles: 4 MB when broadcast. A full filter only saves nothing.
@@ -64,7 +64,7 @@ def popularity(docs: DataFrame, text: str, width: int = WIDTH) -> np.ndarray:
     size, part = 1 << SKETCH_BITS, (1 << SKETCH_BITS) // _BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size, np.uint32)
         for batch in batches:
             for _, h, _ in _shingle_slices(batch, "text", width):
                 np.add.at(total, h & np.uint64(size - 1), 1)
