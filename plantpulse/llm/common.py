@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plantpulse.session import work_path
@@ -19,6 +21,27 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Bytes of rows that Spark hands to a Python worker at once; its own default is 64 MB, on either side of the pipe.
+BATCH_BYTES = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """What runs inside gets Arrow batches of BATCH_BYTES and at most one row more, unless the session sets a size itself.
+
+    It decides memory, never results; a DataFrame that runs after it has the session's batches.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    free = spark.conf.get(key, None) is None
+    if free:
+        spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if free:
+            spark.conf.unset(key)
+
+
 def empty_if_null(column: Column | str) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from plantpulse.llm import words
-from plantpulse.llm.common import maybe_in, saved
+from plantpulse.llm.common import maybe_in, saved, small_batches
 from plantpulse.llm.graph import components
 
 WIDTH = 5
@@ -43,6 +43,8 @@ RADIUS = 0.25
 # Counters of the popularity sketch: 16 MB in a task, 8 MB as levels when broadcast, whatever the corpus.
 SKETCH_BITS = 22
 _BLOCKS = 64
+# Bytes of text that a task turns into shingles at once.
+SLICE_BYTES = 256 << 10
 # Bits of the filters of wanted nodes and shingles: 4 MB when broadcast. A full filter only saves nothing.
 FILTER_BITS = 25
 # Leading shingles beyond the first difference, as a part of the set.
@@ -54,7 +56,7 @@ PIVOTS = 4
 
 
 def _shingle_slices(batch: pa.RecordBatch, text: str, width: int):
-    for first, data, offsets in words.slices(batch, text):
+    for first, data, offsets in words.slices(batch, text, SLICE_BYTES):
         h, rows, _, _ = words.hash_words(data, offsets, words.SPACED)
         yield first, *words.shingles(h, rows, len(offsets) - 1, width)
 
@@ -444,13 +446,14 @@ def region_links(star: DataFrame, sets: DataFrame, sizes: DataFrame, radius: flo
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH,
                     radius: float = RADIUS, **limits) -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id of the component) of every row."""
-    lead = saved(leading(docs, doc_id, text, popularity(docs, text, width), width, radius), "leading")
-    star = stars(lead)
-    wanted = star.select("node").unionByName(star.select(F.col("pivot").alias("node"))).distinct()
-    sizes = saved(lead.filter("node IS NOT NULL").select("node", "n_shingles").join(wanted, "node", "left_semi").groupBy(
-        "node").agg(F.first("n_shingles").alias("n")), "wanted")
-    sets = sets_of(docs, text, sizes.select("node"), width)
-    roots = components(region_links(star, sets, sizes, radius, **limits))
+    with small_batches(docs.sparkSession):  # every step that hands rows to Python ends in here
+        lead = saved(leading(docs, doc_id, text, popularity(docs, text, width), width, radius), "leading")
+        star = stars(lead)
+        wanted = star.select("node").unionByName(star.select(F.col("pivot").alias("node"))).distinct()
+        sizes = saved(lead.filter("node IS NOT NULL").select("node", "n_shingles").join(wanted, "node", "left_semi").groupBy(
+            "node").agg(F.first("n_shingles").alias("n")), "wanted")
+        sets = sets_of(docs, text, sizes.select("node"), width)
+        roots = components(region_links(star, sets, sizes, radius, **limits))
     nodes = lead.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(
         roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -12,8 +12,9 @@ import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-# Bytes handled by one numpy pass; bounds the memory of a task, not the length of a text.
-PIECE_BYTES = 4 << 20
+# Bytes handled by one numpy pass; bounds the memory of a task, not the length of a text. A pass takes some 50 bytes a
+# byte, the powers below 16, and a worker that is used again keeps both.
+PIECE_BYTES = 512 << 10
 
 
 def byte_table(word_bytes, lower: bool = True) -> np.ndarray:
@@ -178,7 +179,7 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, total: int, width: int = 5) -
     return h[keep], kept[bounds]
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = PIECE_BYTES // 2):
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20):
     """(first row, texts' bytes, their offsets) of runs of rows with about `most_bytes` of text, or one longer text."""
     data, offsets = text_bytes(batch.column(column))
     first, total = 0, len(offsets) - 1

@@ -230,3 +230,31 @@ def test_the_popularity_sketch_passes_the_driver_as_levels(spark):
     for _, h, _ in jaccard._shingle_slices(pa.RecordBatch.from_pydict({"text": texts}), "text", jaccard.WIDTH):
         np.add.at(counts, h & np.uint64(len(counts) - 1), 1)
     assert counts.max() == 9 and (levels == np.round(64 * np.log2(counts + 1)).astype(np.uint16)).all()
+
+
+def test_workers_hold_little_at_once(spark, monkeypatch):
+    """Tables and passes over 2 MB of text took some 190 MB of a worker, batches came with up to 64 MB."""
+    texts = [" ".join(f"w{i * k % 9973}" for k in range(3000)) for i in range(500)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    monkeypatch.setattr(words, "_TABLES", {})
+    tracemalloc.start()
+    n = sum(len(b) - 1 for _, _, b in jaccard._shingle_slices(batch, "text", jaccard.WIDTH))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(texts) and batch.nbytes > 8 << 20 and most < 40 << 20
+
+    sizes, real, key = [], jaccard.popularity, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def measure(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], ["size", "rows"])
+
+    def watched(docs, *rest):
+        sizes.extend(docs.select("text").mapInArrow(measure, "size long, rows long").collect())
+        return real(docs, *rest)
+
+    monkeypatch.setattr(jaccard, "popularity", watched)
+    docs = frame(spark, [*enumerate(texts), (900, "long " * (6 << 18)), (901, texts[7])]).coalesce(1)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert len(got) == 502 and got[901] == 7 and sum(r.rows for r in sizes) == 502
+    assert max(r.size for r in sizes if r.rows > 1) < 16 << 20 and spark.conf.get(key, None) is None
